@@ -15,26 +15,9 @@ def ngrams(items: Column, n: int) -> Column:
     return F.when(F.size(items) >= n, made).otherwise(F.array().cast("array<string>"))
 
 
-def hits(a: Column, b: Column) -> Column:
-    """Pairs of equal items of two arrays, each with each: the dot product of their counts."""
-    return F.aggregate(F.array_distinct(a), F.lit(0).cast("long"), lambda acc, x: acc + (F.size(F.filter(a, lambda y: y == x)) * F.size(F.filter(b, lambda y: y == x))).cast("long"))
-
-
-def bag_cosine(a: Column, b: Column, both: Column | None = None) -> Column:
-    """Cosine of the counts of two arrays; 0 if either is empty."""
-    shared = F.array_intersect(a, b)
-    dot = F.aggregate(shared, F.lit(0).cast("long"), lambda acc, x: acc + (F.size(F.filter(a, lambda y: y == x)) * F.size(F.filter(b, lambda y: y == x))).cast("long"))
-    return F.when((F.size(a) == 0) | (F.size(b) == 0), F.lit(0.0)).when(F.size(shared) == 0, F.lit(0.0)).otherwise(dot / (F.sqrt(squares(a).cast("double")) * F.sqrt(squares(b).cast("double"))))
-
-
-def squares(a: Column) -> Column:
-    """Sum of the squared counts of an array's items: runs of its sorted items are measured."""
-    return hits(a, a)
-
-
-def not_shared(grams: Column, other: Column) -> Column:
-    """The grams that the other side lacks, repeats kept."""
-    return F.filter(grams, lambda g: ~F.array_contains(other, g))
+def lacking(items: Column, shared: Column, key: str = "key") -> Column:
+    """The structs of an array whose key is not in shared, repeats kept."""
+    return F.filter(items, lambda x: ~F.array_contains(shared, x[key]))
 
 
 def dense_cosine(a: Column, b: Column) -> Column:

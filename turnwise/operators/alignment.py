@@ -17,16 +17,22 @@ MARK = "/"
 def with_grams(turns: DataFrame, max_ngram: int = 2, taggers: Sequence[str] = ("",)) -> DataFrame:
     """n-gram arrays of each turn, made once, before turns are paired: g_tok1, g_lem1, k_tok1 (word
     and tag of each gram) and p_tok1 (its tags), by n; taggers by prefix ("" is the base one)."""
-    out = turns
+    # tags and word/tag keys once, then their n-grams
+    made = []
+    for short, name in (("tok", "token"), ("lem", "lemma")):
+        for prefix in taggers:
+            tagged = F.col(f"tagged_{prefix}_{name}" if prefix else f"tagged_{name}")
+            made.append(F.transform(tagged, lambda x: x["tag"]).alias(f"_t_{prefix}{short}"))
+            made.append(F.transform(tagged, lambda x: F.concat(x["word"], F.lit(MARK), x["tag"])).alias(f"_k_{prefix}{short}"))
+    out = turns.select("*", *made)
+    grams = []
     for n in range(1, max_ngram + 1):
         for short, name in (("tok", "token"), ("lem", "lemma")):
-            out = out.withColumn(f"g_{short}{n}", sim.ngrams(F.col(name), n))
+            grams.append(sim.ngrams(F.col(name), n).alias(f"g_{short}{n}"))
             for prefix in taggers:
-                tagged = F.col(f"tagged_{prefix}_{name}" if prefix else f"tagged_{name}")
-                tags = F.transform(tagged, lambda x: x["tag"])
-                keys = F.transform(tagged, lambda x: F.concat(x["word"], F.lit(MARK), x["tag"]))
-                out = out.withColumn(f"k_{prefix}{short}{n}", F.zip_with(sim.ngrams(keys, n), sim.ngrams(tags, n), lambda k, t: F.struct(k.alias("key"), t.alias("tags"))))
-    return out
+                pairs = F.zip_with(sim.ngrams(F.col(f"_k_{prefix}{short}"), n), sim.ngrams(F.col(f"_t_{prefix}{short}"), n), lambda k, t: F.struct(k.alias("key"), t.alias("tags")))
+                grams.append(pairs.alias(f"k_{prefix}{short}{n}"))
+    return out.select("*", *grams).drop(*[f"_{x}_{p}{s}" for x in "tk" for p in taggers for s in ("tok", "lem")])
 
 
 def gram_columns(max_ngram: int, taggers: Sequence[str]) -> list[str]:
@@ -46,42 +52,48 @@ def lexsyn(turns: DataFrame, lag: int = 1, max_ngram: int = 2, ignore_duplicates
     prepared = with_grams(turns, max_ngram, taggers)
     grams = gram_columns(max_ngram, taggers)
     pairs = lag_pairs(prepared, ["content", "token", "lemma", *grams], lag)
-    lexical, syntactic = [], []
+    lexical, syntactic, bags = [], [], {}
     for n in range(1, max_ngram + 1):
         for short, name in (("tok", "token"), ("lem", "lemma")):
             some = (F.size(f"{name}1") > 0) & (F.size(f"{name}2") > 0) & F.col(f"{name}2").isNotNull()
-            a, b = F.col(f"g_{short}{n}1"), F.col(f"g_{short}{n}2")
             lexical.append(f"lexical_{short}{n}_cosine")
-            pairs = pairs.withColumn(lexical[-1], F.when(some, sim.bag_cosine(a, b)))
+            bags[lexical[-1]] = some, F.col(f"g_{short}{n}1"), F.col(f"g_{short}{n}2")
             for prefix in taggers:
-                sides = []
-                for own, other in (("1", "2"), ("2", "1")):
-                    mine = F.col(f"k_{prefix}{short}{n}{own}")
-                    if ignore_duplicates:
-                        theirs = F.transform(F.col(f"k_{prefix}{short}{n}{other}"), lambda x: x["key"])
-                        mine = _lacking(mine, theirs)
-                    sides.append(F.transform(mine, lambda x: x["tags"]))
+                one, two = (F.col(f"k_{prefix}{short}{n}{s}") for s in "12")
                 column = f"{prefix + '_' if prefix else ''}pos_{short}{n}_cosine"
                 if n > 1:
                     syntactic.append(column)
-                pairs = pairs.withColumn(f"_a_{column}", sides[0]).withColumn(f"_b_{column}", sides[1])
-                pairs = pairs.withColumn(column, F.when(some, sim.bag_cosine(F.col(f"_a_{column}"), F.col(f"_b_{column}")))).drop(f"_a_{column}", f"_b_{column}")
+                if ignore_duplicates:
+                    shared = F.array_intersect(F.transform(one, lambda x: x["key"]), F.transform(two, lambda x: x["key"]))
+                    one, two = sim.lacking(one, shared), sim.lacking(two, shared)
+                bags[column] = some, *(F.transform(side, lambda x: x["tags"]) for side in (one, two))
+    pairs = pairs.join(bag_cosines(pairs, ["source_file", "time"], bags), ["source_file", "time"], "left")
     pairs = pairs.withColumn("lexical_master_cosine", sim.strict_mean([F.col(c) for c in lexical]))
     master = sim.strict_mean([F.col(c) for c in syntactic]) if syntactic else F.lit(None).cast("double")
     return pairs.withColumn("syntactic_master_cosine", master).drop(*[f"{g}{s}" for g in grams for s in ("", "1", "2")])
 
 
-def _lacking(mine, theirs):
-    return F.filter(mine, lambda x: ~F.array_contains(theirs, x["key"]))
+def bag_cosines(pairs: DataFrame, keys: Sequence[str], bags: dict) -> DataFrame:
+    """(keys, a column for each bag): cosines of the counts of two string arrays, for several pairs
+    of arrays (condition, left, right) at once; null where the condition fails, 0 if a side is
+    empty.
+
+    Items are exploded and counted by hash aggregation, so the work is linear in the items, and as
+    all keys begin with the column by which pairs are partitioned, nothing is shuffled again."""
+    keys, names = list(keys), list(bags)
+    side = lambda items, s: F.transform(items, lambda x: F.struct(x.alias("g"), F.lit(s).alias("s")))
+    marker = F.array(F.struct(F.lit(None).cast("string").alias("g"), F.lit(0).alias("s")))  # keeps a bag without items
+    rows = [F.struct(F.lit(i).alias("bag"), F.when(some, F.concat(marker, side(a, 1), side(b, 2))).alias("items")) for i, (some, a, b) in enumerate(bags.values())]
+    items = pairs.select(*keys, F.explode(F.array(*rows)).alias("x")).select(*keys, F.col("x.bag").alias("bag"), F.explode("x.items").alias("y"))
+    counts = items.groupBy(*keys, "bag", F.col("y.g").alias("g")).agg(F.sum((F.col("y.s") == 1).cast("long")).alias("a"), F.sum((F.col("y.s") == 2).cast("long")).alias("b"))
+    total = lambda x, y: F.sum(F.col(x) * F.col(y))
+    sums = counts.groupBy(*keys, "bag").agg(total("a", "b").alias("ab"), total("a", "a").alias("aa"), total("b", "b").alias("bb"))
+    value = F.when((F.col("aa") == 0) | (F.col("bb") == 0), 0.0).otherwise(F.col("ab") / (F.sqrt(F.col("aa").cast("double")) * F.sqrt(F.col("bb").cast("double"))))
+    wide = sums.groupBy(*keys).agg(*[F.max(F.when(F.col("bag") == i, value)).alias(n) for i, n in enumerate(names)])
+    return wide
 
 
 def exploded_cosine(pairs: DataFrame, keys: Sequence[str], left: str, right: str, name: str = "cosine") -> DataFrame:
-    """The cosine of two array columns by counting exploded grams: for turns too long for arrays.
-    Linear in the grams, at the price of a shuffle by pair and gram; 0 if either side is empty."""
-    keys = list(keys)
-    one = pairs.select(*keys, F.explode(left).alias("_g"), F.lit(1).alias("_a"), F.lit(0).alias("_b"))
-    two = pairs.select(*keys, F.explode(right).alias("_g"), F.lit(0).alias("_a"), F.lit(1).alias("_b"))
-    counts = one.unionAll(two).groupBy(*keys, "_g").agg(F.sum("_a").alias("a"), F.sum("_b").alias("b"))
-    sums = counts.groupBy(*keys).agg(F.sum(F.col("a") * F.col("b")).alias("ab"), F.sum(F.col("a") * F.col("a")).alias("aa"), F.sum(F.col("b") * F.col("b")).alias("bb"))
-    value = F.when((F.col("aa") == 0) | (F.col("bb") == 0), 0.0).otherwise(F.col("ab") / (F.sqrt("aa") * F.sqrt("bb")))
-    return pairs.join(sums.select(*keys, value.alias(name)), keys, "left").withColumn(name, F.coalesce(name, F.lit(0.0)))
+    """pairs with the cosine of the counts of two array columns; 0 if either is empty or null."""
+    bags = {name: (F.lit(True), F.coalesce(left, F.array().cast("array<string>")), F.coalesce(right, F.array().cast("array<string>")))}
+    return pairs.join(bag_cosines(pairs, keys, bags), list(keys))

@@ -17,6 +17,13 @@ def in_order():
     return Window.partitionBy("source_file").orderBy("turn")
 
 
+def dealt(turns: DataFrame) -> DataFrame:
+    """turns dealt out by conversation, once: all windows and aggregates that follow keep to it.  The
+    number of partitions is set, since the work for a byte of text is far above what its size
+    makes the engine expect."""
+    return turns.repartition(int(turns.sparkSession.conf.get("spark.sql.shuffle.partitions")), "source_file")
+
+
 def clean(turns: DataFrame, mode: str = "regex", fillers: Sequence[str] = (), min_words: int = 2) -> DataFrame:
     """Drop null contents, clean the rest, and drop turns of fewer than min_words tokens (0: none)."""
     out = turns.where(F.col("content").isNotNull()).withColumn("content", cleaning.cleaned(F.col("content"), mode, fillers))
@@ -62,15 +69,18 @@ def lag_pairs(turns: DataFrame, columns: Sequence[str], lag: int = 1, drop_tail:
     The last turns of a file stay with nulls unless drop_tail."""
     if lag < 1:
         raise ValueError("lag must be 1 or more")
-    out = turns
+    window = in_order()
+    made = [F.row_number().over(window).cast("long").alias("time"), F.lit(lag).alias("lag")]
     for c in columns:
-        out = out.withColumn(f"{c}1", F.col(c)).withColumn(f"{c}2", F.lead(c, lag).over(in_order()))
+        made += [F.col(c).alias(f"{c}1"), F.lead(c, lag).over(window).alias(f"{c}2")]
     if "participant" in turns.columns:
-        out = out.withColumn("utter_order", F.concat("participant", F.lit(" "), F.lead("participant", lag).over(in_order())))
-    out = out.withColumn("time", F.row_number().over(in_order()).cast("long")).withColumn("lag", F.lit(lag))
+        made.append(F.concat("participant", F.lit(" "), F.lead("participant", lag).over(window)).alias("utter_order"))
+    if drop_tail:
+        made.append(F.lead("turn", lag).over(window).alias("_follows"))
+    out = turns.select("*", *made)
     if "token" in columns:
-        for side in "12":
-            out = out.withColumn(f"utterance_length{side}", F.when(F.col(f"token{side}").isNotNull(), F.size(f"token{side}")).otherwise(0).cast("long"))
+        lengths = [F.when(F.col(f"token{s}").isNotNull(), F.size(f"token{s}")).otherwise(0).cast("long").alias(f"utterance_length{s}") for s in "12"]
+        out = out.select("*", *lengths)
     if drop_tail:
-        out = out.withColumn("_follows", F.lead("turn", lag).over(in_order())).where("_follows is not null").drop("_follows")
+        out = out.where("_follows is not null").drop("_follows")
     return out

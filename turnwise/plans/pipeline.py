@@ -75,7 +75,7 @@ class SurrogateOptions:
 def prepare(raw: DataFrame, options: PrepareOptions | None = None, **changes) -> DataFrame:
     """Clean, drop short turns, merge runs of a speaker, tokenize, correct, lemmatize and tag."""
     o = replace(options or PrepareOptions(), **changes)
-    out = turns.tokenize(turns.merge_adjacent(turns.clean(raw, o.filler_mode, o.fillers, o.min_words)))
+    out = turns.tokenize(turns.merge_adjacent(turns.clean(turns.dealt(raw), o.filler_mode, o.fillers, o.min_words)))
     if o.spelling_model is not None:
         out = spelling.corrected_tokens(out, o.spelling_model)
     return turns.annotate(out, o.tagger, o.lemmatizer, o.extra_taggers)

@@ -23,7 +23,7 @@ def read_tsv(spark: SparkSession, paths: str | Sequence[str], pattern: str = "*.
     their own.  Values in `missing`, and empty ones, are null.  Files are read whole, since only so
     do lines keep their order."""
     paths = [paths] if isinstance(paths, str) else list(paths)
-    raw = spark.read.option("wholetext", True).option("pathGlobFilter", pattern).text(paths).withColumn("source_file", F.element_at(F.split(F.input_file_name(), "/"), -1))
+    raw = spark.read.option("pathGlobFilter", pattern).text(paths, wholetext=True).withColumn("source_file", F.element_at(F.split(F.input_file_name(), "/"), -1))
     lines = raw.select("source_file", F.split(F.regexp_replace("value", "\r\n?", "\n"), "\n").alias("_lines"))
     lines = lines.withColumn("_head", F.split(F.regexp_replace(F.col("_lines")[0], "^﻿", ""), "\t"))
     lines = lines.where(F.array_contains("_head", REQUIRED[0]) & F.array_contains("_head", REQUIRED[1]))
