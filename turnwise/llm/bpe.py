@@ -15,6 +15,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,7 +30,7 @@ PLAIN = (
 )
 #: Characters of a safe piece and of a leaf of the tree.
 PIECE, LEAF = 1 << 18, 2048
-BYTES_PER_BATCH = 4 << 20
+BYTES_PER_BATCH = 1 << 20
 
 
 def safe_pieces(text: str, limit: int = PIECE) -> Iterator[str]:
@@ -195,10 +196,12 @@ def encode_documents(docs: DataFrame, path: str, text: str = "text", ids: str =
         encoder = Encoder(spec.value)
         for whole in batches:
             for batch in by_bytes(whole, at):
-                found = [encoder.encode(t or "") for t in batch.column(at).to_pylist()]
-                yield pa.RecordBatch.from_arrays(
-                    [*batch.columns, pa.array(found, pa.list_(pa.int32())), pa.array([encoder.decode(x) for x in found], pa.string())], names=[*kept, ids, decoded]
-                )
+                found, back = [], []
+                for t in batch.column(at).to_pylist():
+                    own = encoder.encode(t or "")
+                    back.append(encoder.decode(own))
+                    found.append(np.array(own, np.int32))  # numbers as objects would take eight times the memory
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.list_(pa.int32())), pa.array(back, pa.string())], names=[*kept, ids, decoded])
 
     return schema.mapInArrow(run, spark_schema(schema, f"`{ids}` array<int>, `{decoded}` string"))
 
