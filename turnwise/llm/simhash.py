@@ -59,8 +59,9 @@ def segment_bounds(segments: int) -> list[tuple[int, int]]:
     return [(a, b - a) for a, b in zip(ends, ends[1:], strict=False)]
 
 
-def probes(fps: DataFrame, radius: int, segments: int) -> DataFrame:
-    """(key, fp, probe): the table rows of each fingerprint and the values it looks up."""
+def probes(fps: DataFrame, radius: int, segments: int, *more: str) -> DataFrame:
+    """(key, fp, probe): the table rows of each fingerprint and the values it looks up; `more`
+    columns come along."""
     rows = []
 
     def looked_up(value, top, masks):
@@ -74,7 +75,7 @@ def probes(fps: DataFrame, radius: int, segments: int) -> DataFrame:
         rows.append(F.array(F.struct(value.bitwiseOR(top).alias("key"), F.lit(False).alias("probe"))))
         if masks:
             rows.append(looked_up(value, top, masks))
-    return fps.select("fp", F.explode(F.concat(*rows)).alias("x")).select("x.key", "fp", "x.probe")
+    return fps.select("fp", *more, F.explode(F.concat(*rows)).alias("x")).select("x.key", "fp", "x.probe", *more)
 
 
 def forest(table: np.ndarray, looking: np.ndarray, radius: int) -> list[tuple[int, int]]:

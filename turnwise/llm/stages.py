@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import bpe, exact, langid, mixing, simhash
+from . import bpe, exact, langid, mixing, near
 from .common import bounded, fresh
 
 
@@ -24,8 +24,9 @@ def exact_dedup(spark, docs, sf_dir):
 
 
 def near_dedup(spark, docs, sf_dir):
+    """Links are at a similarity of 0.8 or more by five-word shingles."""
     bounded(spark)
-    return simhash.near_deduplicated(docs)
+    return near.near_deduplicated(docs)
 
 
 def mix_sources(spark, docs, sf_dir):
