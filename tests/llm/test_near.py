@@ -78,21 +78,43 @@ def test_edges(spark):
 def test_forest_connects_what_is_near(known):
     rng = np.random.default_rng(known)
     fps = np.int64(77) ^ (np.int64(1) << rng.integers(0, 62, (40, 3))).sum(1)
-    edges = near.nearest_forest(fps, known, 4)
+    sizes, sketches = rng.integers(10, 14, 40), rng.integers(0, 1 << 62, 40)
+    edges = near.likest_forest(fps, sizes, sketches, known, 4, 0.8)
     parent = list(range(40))
 
+    def linked(a, b):
+        return int(fps[a] ^ fps[b]).bit_count() <= 4 and min(sizes[a], sizes[b]) / max(sizes[a], sizes[b]) >= 0.8
+
     def root(x):
         while parent[x] != x:
             x = parent[x]
         return x
 
     for a, b in edges:
-        assert int(fps[a] ^ fps[b]).bit_count() <= 4 and (a < known or b < known)
+        assert linked(a, b) and (a < known or b < known)
         assert root(a) != root(b)
         parent[root(a)] = root(b)
     for i in range(known):
         for j in range(40):
-            assert int(fps[i] ^ fps[j]).bit_count() > 4 or root(i) == root(j)
+            assert i == j or not linked(i, j) or root(i) == root(j)
+
+
+def test_forest_takes_the_likest_first():
+    fps, sizes = np.zeros(3, np.int64), np.full(3, 50)
+    assert set(near.likest_forest(fps, sizes, np.array([0, 0b1111, 0b0001]), 3, 11, 0.8)) == {(0, 2), (2, 1)}
+    assert near.likest_forest(fps, np.array([50, 39, 0]), np.zeros(3, np.int64), 3, 11, 0.8) == []
+
+
+def test_sketches_differ_by_similarity():
+    a = np.random.default_rng(4).integers(0, 1 << 32, (400, 1000), np.uint32)
+    for share in (0.0, 0.5, 0.9):
+        off = []
+        for row in a:
+            cut = round(1000 * 2 * share / (1 + share))  # this many shared of 1000 gives a similarity of share
+            other = np.concatenate((row[:cut], row[cut:] ^ np.uint32(0x5A5A5A5A)))
+            off.append((near.sketch(np.unique(row).view(np.int32)) ^ near.sketch(np.unique(other).view(np.int32))) & (1 << 64) - 1)
+        assert abs(np.mean([x.bit_count() for x in off]) - 32 * (1 - share)) < 1
+    assert near.sketch(np.zeros(0, np.int32)) == 0
 
 
 def test_similarity_of_sets_is_that_of_shingles():

@@ -5,10 +5,13 @@ a wider distance; whether two are linked is decided by the Jaccard similarity of
 of shingles.  With 5 segments and balls of radius 1, texts that differ in 9 bits or fewer always
 meet, in 10 in 99 %, in 11 in 96 % of cases; verification is exact.
 
-From a bucket comes a spanning forest of its candidates that takes the nearest first, not all
-pairs, so a group of copies gives a number of rows that is linear in its size.  Where a bucket holds
-three or more, a link may be hidden by a candidate that fails; a pair meets in several buckets of the
-five segments, each with a forest of its own.
+From a bucket comes a spanning forest of its candidates, not all pairs, so a group of copies gives a
+number of rows that is linear in its size.  Pairs whose sets differ too much in size are no
+candidates.  The forest takes the likest first, by a second word of 64 bits: one bit of each of 64
+minimum hashes of the five-word shingles, which differ in 32 (1 - similarity) bits on average.  This
+word orders candidates and rules none out.  Where a bucket holds three or more, a link may still be
+hidden by a candidate that fails but looks more alike; a pair meets in several buckets of the five
+segments, each with a forest of its own.
 """
 
 from __future__ import annotations
@@ -51,8 +54,22 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
     return shared / total if total else 1.0
 
 
-def marked(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(doc_id, mark, fp, node) of every row; node is the same for texts of the same words."""
+def sketch(shingles: np.ndarray) -> int:
+    """64 bits, as a signed number, from a set of shingles: bit k tells a hash of the first item at
+    or after k / 64 of the way round the 32-bit hashes, so that two sets have the same item there
+    with the probability of their similarity.  0 for an empty set."""
+    if not len(shingles):
+        return 0
+    ordered = np.sort(shingles.view(np.uint32)).astype(np.uint64)
+    place = np.searchsorted(ordered, np.arange(64, dtype=np.uint64) << np.uint64(26))
+    mixed = (ordered[place % len(ordered)] + np.arange(1, 65, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xBF58476D1CE4E5B9)
+    mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+    return int(np.packbits((mixed >> np.uint64(63)).astype(np.uint8), bitorder="little").view(np.int64)[0])
+
+
+def marked(docs: DataFrame, words: int, doc_id: str, text: str) -> DataFrame:
+    """(doc_id, mark, fp, node, n, sketch) of every row; node is the same for texts of the same
+    words, n is the number of distinct shingles."""
 
     def run(batches):
         import xxhash
@@ -61,49 +78,59 @@ def marked(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
             texts = batch.column(2).to_pylist()
             fp = pa.array([fingerprint(t, MARK_WORDS) for t in texts], pa.int64())
             node = np.array([xxhash.xxh64_intdigest(b" ".join(word_list(t)), 7) for t in texts], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), fp, pa.array(node)], names=["doc_id", "mark", "fp", "node"])
+            sets = [shingle_set(t, words) for t in texts]
+            sizes, sketches = pa.array([len(s) for s in sets], pa.int64()), pa.array([sketch(s) for s in sets], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), fp, pa.array(node), sizes, sketches], names=["doc_id", "mark", "fp", "node", "n", "sketch"])
 
     kind = docs.schema[doc_id].dataType.simpleString()
     own = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("mark"), F.col(text).alias("text"))
-    return own.mapInArrow(run, f"doc_id {kind}, mark long, fp long, node long")
+    return own.mapInArrow(run, f"doc_id {kind}, mark long, fp long, node long, n long, sketch long")
+
+
+def likest_forest(fps: np.ndarray, sizes: np.ndarray, sketches: np.ndarray, known: int, radius: int, least: float) -> list[tuple[int, int]]:
+    """Places of the ends of a spanning forest, likest sketches first, of the pairs within radius
+    whose sizes allow a similarity of `least`; the first `known` are table rows, the others look up
+    and are not compared among themselves."""
+    f, g, n = fps.view(np.uint64), sketches.view(np.uint64), len(fps)
 
+    def allowed(x, y):
+        return np.minimum(x, y) / np.maximum(np.maximum(x, y), 1) >= least
 
-def nearest_forest(fps: np.ndarray, known: int, radius: int) -> list[tuple[int, int]]:
-    """Places of the ends of a spanning forest, nearest first, of the pairs within radius; the first
-    `known` are table rows, the others look up and are not compared among themselves."""
-    f, n = fps.view(np.uint64), len(fps)
     some = np.zeros(n, bool)
     step = max(1, BLOCK // n)
     for at in range(0, known, step):
         rows = np.arange(at, min(at + step, known))
         near = np.bitwise_count(f[rows, None] ^ f[None, :]) <= radius
         near[rows - at, rows] = False
-        some |= near.any(0)
-        some[rows] |= near.any(1)
+        i, j = np.nonzero(near)
+        fit = allowed(sizes[i + at], sizes[j])
+        some[i[fit] + at] = True
+        some[j[fit]] = True
     place = np.flatnonzero(some)
-    f, table = f[place], place < known
+    f, g, sizes, table = f[place], g[place], sizes[place], place < known
     left, best, parent = np.ones(len(f), bool), np.full(len(f), 65, np.int64), np.full(len(f), -1)
     out = []
     for seed in range(len(f)):
         i = seed
         while left[i]:
             left[i] = False
-            d = np.bitwise_count(f ^ f[i])
-            closer = left & (d < best) & (table | table[i])
+            d = np.bitwise_count(g ^ g[i])
+            closer = left & (d < best) & (np.bitwise_count(f ^ f[i]) <= radius) & (table | table[i]) & allowed(sizes, sizes[i])
             best[closer], parent[closer] = d[closer], i
             m = int(np.where(left, best, 65).argmin())
-            if not left[m] or best[m] > radius:
+            if not left[m] or best[m] > 64:
                 break
             out.append((int(place[parent[m]]), int(place[m])))
             i = m
     return out
 
 
-def candidates(kinds: DataFrame, radius: int = RADIUS, segments: int = SEGMENTS) -> DataFrame:
-    """(a, b), a below b: nodes whose fingerprints meet in a bucket and lie within radius."""
+def candidates(kinds: DataFrame, radius: int = RADIUS, segments: int = SEGMENTS, least: float = SIMILARITY) -> DataFrame:
+    """(a, b), a below b: nodes whose fingerprints meet in a bucket and lie within radius, as a
+    forest for each bucket."""
 
     def run(batches):
-        held = [np.zeros(0, t) for t in (np.int64, np.int64, np.int64, bool)]
+        held = [np.zeros(0, np.int64) for _ in range(5)]
         for batch in batches:
             held = [np.concatenate((h, c.to_numpy(zero_copy_only=False))) for h, c in zip(held, batch.columns, strict=True)]
             if len(held[0]) and held[0][0] != held[0][-1]:
@@ -112,29 +139,31 @@ def candidates(kinds: DataFrame, radius: int = RADIUS, segments: int = SEGMENTS)
                 held = [h[cut:] for h in held]
         yield bucketed(*held)
 
-    def bucketed(keys, fps, nodes, probe):
+    def bucketed(keys, fps, nodes, sketches, info):
         found = []
+        sizes, probe = info >> 1, (info & 1).astype(bool)
         if len(keys):
             starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
             ends = np.append(starts[1:], len(keys))
             known = np.add.reduceat(~probe, starts, dtype=np.int64)
             for at in np.flatnonzero((ends - starts > 1) & (known > 0)):
-                own = slice(starts[at], ends[at])
-                order = np.argsort(probe[own], kind="stable")
-                names = nodes[own][order]
-                found += [(names[i], names[j]) for i, j in nearest_forest(fps[own][order], int(known[at]), radius)]
+                own = np.arange(starts[at], ends[at])
+                own = own[np.argsort(probe[own], kind="stable")]
+                names = nodes[own]
+                found += [(names[i], names[j]) for i, j in likest_forest(fps[own], sizes[own], sketches[own], int(known[at]), radius, least)]
         pairs = np.sort(np.array(found, np.int64).reshape(-1, 2), axis=1)
         return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
-    # balls of radius 1 in each segment
-    table = probes(kinds.select("fp", "node"), segments, segments, "node")
+    # balls of radius 1 in each segment; info holds the size and, as its lowest bit, who looks up
+    table = probes(kinds.select("fp", "node", "sketch", "n"), segments, segments, "node", "sketch", "n")
     parts = int(kinds.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = table.repartition(parts, "key").sortWithinPartitions("key").select("key", "fp", "node", "probe")
+    rows = table.select("key", "fp", "node", "sketch", (F.col("n") * 2 + F.col("probe").cast("long")).alias("info"))
+    rows = rows.repartition(parts, "key").sortWithinPartitions("key")
     return rows.mapInArrow(run, "a long, b long").where("a <> b").distinct()
 
 
 def verified(edges: DataFrame, sets: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """Those of edges (a, b) whose sets (node, n, shingles) have the similarity."""
+    """Those of edges (a, b) whose sets (node, shingles) have the similarity."""
 
     def run(batches):
         for batch in batches:
@@ -142,27 +171,22 @@ def verified(edges: DataFrame, sets: DataFrame, least: float = SIMILARITY) -> Da
             keep = [similarity(left[i].values.to_numpy(), right[i].values.to_numpy()) >= least for i in range(len(batch))]
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    # sizes first: a set that is too small cannot be similar, and its items need not be moved
-    sizes = sets.select("node", "n")
-    sized = edges.join(sizes.toDF("a", "na"), "a").join(sizes.toDF("b", "nb"), "b")
-    sized = sized.where(F.least("na", "nb") >= F.greatest("na", "nb") * F.lit(least)).select("a", "b")
-    both = sized.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
+    both = edges.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
     both = both.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
     return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, words: int, doc_id: str, text: str) -> DataFrame:
-    """(node, n, shingles) of the rows wanted (k_id, k_mark, node)."""
+    """(node, shingles) of the rows wanted (k_id, k_mark, node)."""
 
     def run(batches):
         for batch in batches:
             found = [shingle_set(t, words) for t in batch.column(1).to_pylist()]
-            sizes = pa.array([len(s) for s in found], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), sizes, pa.array(found, pa.list_(pa.int32()))], names=["node", "n", "shingles"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int32()))], names=["node", "shingles"])
 
     own = docs.select(F.col(doc_id).alias("d_id"), F.xxhash64(text).alias("d_mark"), F.col(text).alias("d_text"))
     own = own.join(wanted, own["d_id"].eqNullSafe(wanted["k_id"]) & (own["d_mark"] == wanted["k_mark"]))
-    return own.select("node", "d_text").mapInArrow(run, "node long, n long, shingles array<int>").dropDuplicates(["node"])
+    return own.select("node", "d_text").mapInArrow(run, "node long, shingles array<int>").dropDuplicates(["node"])
 
 
 def classes(docs: DataFrame, words: int = WORDS, least: float = SIMILARITY, radius: int = RADIUS, segments: int = SEGMENTS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -170,9 +194,9 @@ def classes(docs: DataFrame, words: int = WORDS, least: float = SIMILARITY, radi
 
     A null text counts as empty; texts without words are one class, texts of the same words (case
     of A-Z and white space apart) too.  Repeated rows are in one class.  An empty table gives none."""
-    own = spool(marked(docs, doc_id, text), "marked")
-    kinds = spool(own.groupBy("fp", "node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")).alias("lead")), "kinds")
-    edges = spool(candidates(kinds, radius, segments), "candidates")
+    own = spool(marked(docs, words, doc_id, text), "marked")
+    kinds = spool(own.groupBy("fp", "node", "n", "sketch").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")).alias("lead")), "kinds")
+    edges = spool(candidates(kinds, radius, segments, least), "candidates")
     ends = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
     wanted = spool(kinds.join(ends, "node").select(F.col("lead.doc_id").alias("k_id"), F.col("lead.mark").alias("k_mark"), "node"), "wanted")
     sets = spool(sets_of(docs, wanted, words, doc_id, text), "sets")
