@@ -102,6 +102,8 @@ def test_forest_connects_what_is_near(known):
 def test_forest_takes_the_likest_first():
     fps, sizes = np.zeros(3, np.int64), np.full(3, 50)
     assert set(near.likest_forest(fps, sizes, np.array([0, 0b1111, 0b0001]), 3, 11, 0.8)) == {(0, 2), (2, 1)}
+    more = near.likest_forest(fps, sizes, np.array([0, 0b1111, 0b0001]), 3, 11, 0.8, also=2)
+    assert {tuple(sorted(e)) for e in more} == {(0, 1), (0, 2), (1, 2)}
     assert near.likest_forest(fps, np.array([50, 39, 0]), np.zeros(3, np.int64), 3, 11, 0.8) == []
 
 

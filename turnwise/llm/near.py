@@ -9,9 +9,9 @@ From a bucket comes a spanning forest of its candidates, not all pairs, so a gro
 number of rows that is linear in its size.  Pairs whose sets differ too much in size are no
 candidates.  The forest takes the likest first, by a second word of 64 bits: one bit of each of 64
 minimum hashes of the five-word shingles, which differ in 32 (1 - similarity) bits on average.  This
-word orders candidates and rules none out.  Where a bucket holds three or more, a link may still be
-hidden by a candidate that fails but looks more alike; a pair meets in several buckets of the five
-segments, each with a forest of its own.
+word orders candidates and rules none out.  Each text's few likest candidates come along, also where
+the forest has no use for them.  A link may still be hidden by candidates that fail but look more
+alike; a pair meets in several buckets of the five segments, each with a forest of its own.
 """
 
 from __future__ import annotations
@@ -27,6 +27,9 @@ from .simhash import components, fingerprint, probes
 #: Words of a fingerprint's shingles, of a compared shingle; similarity; distance; segments.
 MARK_WORDS, WORDS, SIMILARITY, RADIUS, SEGMENTS = 3, 5, 0.8, 11, 5
 
+#: Likest candidates that each text of a bucket has besides the bucket's forest.
+ALSO = 2
+
 #: Elements of a block of distances.
 BLOCK = 1 << 21
 
@@ -87,10 +90,10 @@ def marked(docs: DataFrame, words: int, doc_id: str, text: str) -> DataFrame:
     return own.mapInArrow(run, f"doc_id {kind}, mark long, fp long, node long, n long, sketch long")
 
 
-def likest_forest(fps: np.ndarray, sizes: np.ndarray, sketches: np.ndarray, known: int, radius: int, least: float) -> list[tuple[int, int]]:
+def likest_forest(fps: np.ndarray, sizes: np.ndarray, sketches: np.ndarray, known: int, radius: int, least: float, also: int = 0) -> list[tuple[int, int]]:
     """Places of the ends of a spanning forest, likest sketches first, of the pairs within radius
-    whose sizes allow a similarity of `least`; the first `known` are table rows, the others look up
-    and are not compared among themselves."""
+    whose sizes allow a similarity of `least`, and after it of each one's `also` likest pairs; the
+    first `known` are table rows, the others look up and are not compared among themselves."""
     f, g, n = fps.view(np.uint64), sketches.view(np.uint64), len(fps)
 
     def allowed(x, y):
@@ -109,25 +112,30 @@ def likest_forest(fps: np.ndarray, sizes: np.ndarray, sketches: np.ndarray, know
     place = np.flatnonzero(some)
     f, g, sizes, table = f[place], g[place], sizes[place], place < known
     left, best, parent = np.ones(len(f), bool), np.full(len(f), 65, np.int64), np.full(len(f), -1)
-    out = []
+    out, more = [], []
     for seed in range(len(f)):
         i = seed
         while left[i]:
             left[i] = False
-            d = np.bitwise_count(g ^ g[i])
-            closer = left & (d < best) & (np.bitwise_count(f ^ f[i]) <= radius) & (table | table[i]) & allowed(sizes, sizes[i])
+            fits = (np.bitwise_count(f ^ f[i]) <= radius) & (table | table[i]) & allowed(sizes, sizes[i])
+            fits[i] = False
+            d = np.where(fits, np.bitwise_count(g ^ g[i]), 65)
+            if also:
+                likest = np.argpartition(d, also - 1)[:also] if also < len(d) else np.arange(len(d))
+                more += [(int(place[i]), int(place[j])) for j in likest if d[j] < 65]
+            closer = left & (d < best)
             best[closer], parent[closer] = d[closer], i
             m = int(np.where(left, best, 65).argmin())
             if not left[m] or best[m] > 64:
                 break
             out.append((int(place[parent[m]]), int(place[m])))
             i = m
-    return out
+    return out + more
 
 
 def candidates(kinds: DataFrame, radius: int = RADIUS, segments: int = SEGMENTS, least: float = SIMILARITY) -> DataFrame:
-    """(a, b), a below b: nodes whose fingerprints meet in a bucket and lie within radius, as a
-    forest for each bucket."""
+    """(a, b), a below b: nodes whose fingerprints meet in a bucket and lie within radius: of
+    each bucket a forest and each text's likest few."""
 
     def run(batches):
         held = [np.zeros(0, np.int64) for _ in range(5)]
@@ -150,8 +158,8 @@ def candidates(kinds: DataFrame, radius: int = RADIUS, segments: int = SEGMENTS,
                 own = np.arange(starts[at], ends[at])
                 own = own[np.argsort(probe[own], kind="stable")]
                 names = nodes[own]
-                found += [(names[i], names[j]) for i, j in likest_forest(fps[own], sizes[own], sketches[own], int(known[at]), radius, least)]
-        pairs = np.sort(np.array(found, np.int64).reshape(-1, 2), axis=1)
+                found += [(names[i], names[j]) for i, j in likest_forest(fps[own], sizes[own], sketches[own], int(known[at]), radius, least, ALSO)]
+        pairs = np.unique(np.sort(np.array(found, np.int64).reshape(-1, 2), axis=1), axis=0)
         return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
     # balls of radius 1 in each segment; info holds the size and, as its lowest bit, who looks up
