@@ -238,6 +238,20 @@ def test_blocks_are_disjoint_over_documents():
     assert max(seen.values()) == 1 and sum(seen.values()) == round(plan.target["a"]) and set(shard) <= set(range(5))
 
 
+def test_shards_follow_the_words_taken():
+    assert mixing.Plan({"a": 1000}).shards == mixing.Plan({}).shards == 16
+    plan = mixing.Plan({"a": 10**8, None: 10**8})
+    assert plan.shards == 75 and plan.until.shape == (2, 75) and mixing.Plan({"a": 10**12}).shards == 65_536
+    share = np.diff(plan.until.sum(0), prepend=0)
+    assert share.max() - share.min() <= 8  # halves of halves, each rounded
+    draw = np.arange(0, int(plan.until[1, -1]), 997)
+    offset = (draw % plan.blocks[1]) * plan.block
+    found = plan.spans(np.ones(len(draw), np.int64), offset, np.ones(len(draw), np.int64))
+    for row, turn, shard in found[:3].T.tolist():
+        at = int(mixing.permuted(np.array([offset[row] // plan.block]), plan.blocks[1:2], plan.key[1:2, turn])[0]) + turn * int(plan.blocks[1])
+        assert shard == sum(x <= at for x in plan.until[1].tolist())
+
+
 def test_archives(spark):
     rows = [(1, "http://a/\r\nx", "x" * 100), (2, None, "x" * 100), (3, "u", "é" * 40_000), (4, "u", None), (5, "u", "short"), (6, "u", "short"), (2, "u", "x" * 100), (None, "u", "x" * 100)]
     pages = spark.createDataFrame([(*r, 1) for r in rows], "page_id long, url string, html string, first int")

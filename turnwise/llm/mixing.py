@@ -22,8 +22,12 @@ from pyspark.sql.types import StructType
 from .common import fresh, spool
 
 #: Weights of the sources in the order of their names, repeating; share of all words that the mix
-#: takes; most passes over a source; words of a block; shards; rows of a bucket of a source.
-WEIGHTS, SHARE, MOST, BLOCK, SHARDS, BUCKET = (5, 2, 1), 1.5, 2, 4096, 16, 20_000
+#: takes; most passes over a source; words of a block; rows of a bucket of a source.
+WEIGHTS, SHARE, MOST, BLOCK, BUCKET = (5, 2, 1), 1.5, 2, 4096, 20_000
+
+#: Words of a shard; fewest and most shards.  Each task gets the plan, a number for each shard and
+#: source, so beyond the most (some 260 billion words) shards grow instead.
+SHARD_WORDS, SHARDS, MOST_SHARDS = 4_000_000, 16, 65_536
 
 
 def targets(sizes: dict[str | None, int], weights=WEIGHTS, share=SHARE, most=MOST) -> dict[str | None, float]:
@@ -81,7 +85,7 @@ def permuted(index: np.ndarray, size: np.ndarray, key: np.ndarray) -> np.ndarray
 class Plan:
     """What each source gives: passes, permuted blocks, words of the last block, ranges of shards."""
 
-    def __init__(self, sizes: dict[str | None, int], weights=WEIGHTS, share=SHARE, most=MOST, block=BLOCK, shards=SHARDS, seed="mix"):
+    def __init__(self, sizes: dict[str | None, int], weights=WEIGHTS, share=SHARE, most=MOST, block=BLOCK, shards: int | None = None, seed="mix"):
         self.names = sorted(sizes, key=lambda s: (s is None, s or ""))
         self.number = {s: i for i, s in enumerate(self.names)}
         self.target = targets(sizes, weights, share, most) if sizes else {}
@@ -105,7 +109,8 @@ class Plan:
             elif at == self.whole[i] and self.part[i] >= last[i]:
                 self.whole[i], self.part[i] = self.whole[i] + 1, self.part[i] - last[i]
         quotas = self.passes * self.blocks + self.whole + (self.part > 0)
-        self.until = np.cumsum(split(quotas, shards, seed), axis=0) if len(quotas) else np.zeros((shards, 0), np.int64)
+        self.shards = shards or min(MOST_SHARDS, max(SHARDS, -(-int(words.sum()) // SHARD_WORDS)))
+        self.until = np.ascontiguousarray(np.cumsum(split(quotas, self.shards, seed), axis=0).T) if len(quotas) else np.zeros((0, self.shards), np.int64)
 
     def spans(self, source: np.ndarray, offset: np.ndarray, size: np.ndarray):
         """(row, pass, shard, first word, end) of what the mix takes of each row, in order; a row
@@ -128,7 +133,10 @@ class Plan:
             some = end > low[here]
             here, at, end = here[some], at[some], end[some]
             draw = k * self.blocks[s[here]] + at
-            shard = (self.until[:, s[here]] <= draw).sum(0)
+            shard = np.zeros(len(here), np.int64)
+            for i in np.unique(s[here]):
+                own = s[here] == i
+                shard[own] = np.searchsorted(self.until[i], draw[own], side="right")
             out.append(np.stack((row[here], np.full(len(here), k), shard, low[here], end)))
         return np.concatenate(out, axis=1) if out else np.zeros((5, 0), np.int64)
 
@@ -196,9 +204,10 @@ def words_cut(text: str, spans: list[tuple[int, int]]) -> str:
     return " ".join(text[edges[a][0] : edges[b - 1][1]] for a, b in spans)
 
 
-def mixed(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text", shards: int = SHARDS, **options) -> DataFrame:
+def mixed(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text", shards: int | None = None, **options) -> DataFrame:
     """docs as the mix takes them, with the columns shard and pass: a row for each pass that takes
-    words of a document, its text cut to the words taken, in shards and in the shard's order."""
+    words of a document, its text cut to the words taken, in shards and in the shard's order.  The
+    number of shards follows the words taken unless it is given."""
     names = fresh(docs, "mark", "copy", "spans", "shard", "pass", "nth")
     mark, copy, spans, shard, turn, nth = names
     rows = spool(measured(docs, doc_id, source, text), "offsets")
@@ -227,7 +236,7 @@ def mixed(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text:
     own = own.withColumn(copy, F.row_number().over(Window.partitionBy(doc_id, mark, source).orderBy(F.lit(0))))
     on = own[doc_id].eqNullSafe(drawn["k_id"]) & (own[mark] == drawn["k_mark"]) & own[source].eqNullSafe(drawn["k_source"]) & (own[copy] == drawn["k_copy"])
     both = own.join(drawn, on).select(*[own[c] for c in columns], spans, shard, turn, F.xxhash64(F.lit(17), own[doc_id], own[mark], turn).alias(nth))
-    both = both.repartition(shards, shard).sortWithinPartitions(shard, nth)
+    both = both.repartition(plan.shards, shard).sortWithinPartitions(shard, nth)
     at, where = columns.index(text), len(columns)
 
     def cut(batches):
