@@ -123,3 +123,11 @@ def test_similarity_of_sets_is_that_of_shingles():
     a, b = "a b c d e f g h", "A b c d e f g x"
     assert near.similarity(near.shingle_set(a), near.shingle_set(b)) == pytest.approx(jaccard(shingles(a), shingles(b)))
     assert near.similarity(near.shingle_set(""), near.shingle_set(None)) == 1.0 and fingerprint("") == 0
+
+
+def test_reruns_agree(spark):
+    rows = corpus(9)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    kinds = [near.marked(df.repartition(n), 5, "doc_id", "text").select("fp", "node", "n", "sketch").distinct() for n in (1, 7)]
+    first, second = (sorted(map(tuple, near.candidates(k).collect())) for k in kinds)
+    assert first and first == second

@@ -166,7 +166,7 @@ def candidates(kinds: DataFrame, radius: int = RADIUS, segments: int = SEGMENTS,
     table = probes(kinds.select("fp", "node", "sketch", "n"), segments, segments, "node", "sketch", "n")
     parts = int(kinds.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = table.select("key", "fp", "node", "sketch", (F.col("n") * 2 + F.col("probe").cast("long")).alias("info"))
-    rows = rows.repartition(parts, "key").sortWithinPartitions("key")
+    rows = rows.repartition(parts, "key").sortWithinPartitions("key", "node")  # ties alike in every run
     return rows.mapInArrow(run, "a long, b long").where("a <> b").distinct()
 
 
