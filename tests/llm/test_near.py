@@ -131,3 +131,46 @@ def test_reruns_agree(spark):
     kinds = [near.marked(df.repartition(n), 5, "doc_id", "text").select("fp", "node", "n", "sketch").distinct() for n in (1, 7)]
     first, second = (sorted(map(tuple, near.candidates(k).collect())) for k in kinds)
     assert first and first == second
+
+
+def classes_of(spark, rows):
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    return {r["doc_id"]: r["lead"]["doc_id"] for r in near.classes(df).collect()}
+
+
+def other_words(rng, n):
+    return [f"{rng.choice('abcdefghijklmnop')}{rng.randrange(10**6)}" for _ in range(n)]
+
+
+def block_replaced(rng, base, alike):
+    """base with a block replaced by other words, at about the similarity."""
+    n = len(base) - 4
+    width = max(1, int(n * (1 - alike) / (1 + alike)) - 4)
+    at = rng.randrange(4, len(base) - width - 4)
+    return base[:at] + other_words(rng, width) + base[at + width :]
+
+
+def test_replaced_blocks_near_the_threshold(spark):
+    rng, rows = random.Random(31), []
+    for i in range(120):
+        base = other_words(rng, rng.randint(120, 600))
+        rows += [" ".join(base), " ".join(block_replaced(rng, base, 0.79 + 0.07 * i / 119))]
+    rows = list(enumerate(rows))
+    expected = brute(rows)
+    assert 80 < sum(i != lead for i, lead in expected.items()) < 120
+    assert classes_of(spark, rows) == expected
+
+
+@pytest.mark.parametrize("common", [False, True])
+def test_heads_of_similar_sets_meet(common):
+    rng = np.random.default_rng(8)
+    often = (np.sort(rng.choice(4000, 700, replace=False).astype(np.uint32)), rng.integers(3, 90, 700)) if common else None
+    met = 0
+    for n in [1, 2, 4, 5, 9, 10, 45, 100, 301] * 30:
+        a = rng.choice(4000, n, replace=False)
+        b = np.concatenate((a[: n - int(rng.integers(0, n // 8 + 1))], rng.choice(4000, int(rng.integers(0, n // 8 + 1)))))
+        a, b = (np.unique(x.astype(np.uint32)).view(np.int32) for x in (a, b))
+        if len(b) and near.similarity(a, b) >= 0.8:
+            met += 1
+            assert len(np.intersect1d(near.head(a, 0.8, often), near.head(b, 0.8, often)))
+    assert met > 100

@@ -12,6 +12,13 @@ minimum hashes of the five-word shingles, which differ in 32 (1 - similarity) bi
 word orders candidates and rules none out.  Each text's few likest candidates come along, also where
 the forest has no use for them.  A link may still be hidden by candidates that fail but look more
 alike; a pair meets in several buckets of the five segments, each with a forest of its own.
+
+So fingerprints only save work: they join most of what is to be joined.  What they miss is found by
+prefix filtering, without loss.  The shingles are put in one order, common ones of a sample last.  Two sets
+of n and m shingles with a similarity of t share at least max(t n, t m), so the first they share
+lies within the first n - ceil(t n) + 1 of the one and likewise of the other.  All pairs of different
+components that share one of these are compared whole, unless their sizes and the places
+of the shingle leave too few to share.  Whatever the order, no link at or above t is lost.
 """
 
 from __future__ import annotations
@@ -30,9 +37,12 @@ MARK_WORDS, WORDS, SIMILARITY, RADIUS, SEGMENTS = 3, 5, 0.8, 11, 5
 #: Likest candidates that each text of a bucket has besides the bucket's forest.
 ALSO = 2
 
-#: Elements of a block of distances.
+#: Elements of a block of distances, pairs held at once.
 BLOCK = 1 << 21
 
+#: Texts of the sample for common shingles; counts there from which one is common; most that are kept.
+SAMPLE, COMMON, MOST = 16384, 3, 1 << 16
+
 
 def word_list(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
@@ -70,8 +80,40 @@ def sketch(shingles: np.ndarray) -> int:
     return int(np.packbits((mixed >> np.uint64(63)).astype(np.uint8), bitorder="little").view(np.int64)[0])
 
 
-def marked(docs: DataFrame, words: int, doc_id: str, text: str) -> DataFrame:
-    """(doc_id, mark, fp, node, n, sketch) of every row; node is the same for texts of the same
+def common_shingles(docs: DataFrame, words: int, text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles common in a sample of the texts, sorted as unsigned, and their counts there.  They
+    only order the shingles of a head: which ones they are changes work, not results."""
+
+    def run(batches):
+        for batch in batches:
+            sets = [shingle_set(t, words) for t in batch.column(0).to_pylist()]
+            found, counts = np.unique(np.concatenate([np.zeros(0, np.int32), *sets]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(counts)], names=["shingle", "n"])
+
+    share = max(1, docs.count() // SAMPLE)
+    some = docs.where(F.pmod(F.xxhash64(text), F.lit(share)) == 0).select(text).mapInArrow(run, "shingle int, n long")
+    top = some.groupBy("shingle").agg(F.sum("n").alias("n")).where(F.col("n") >= COMMON).orderBy(F.desc("n"), "shingle").limit(MOST).collect()
+    found, counts = np.array([r["shingle"] for r in top], np.int32).view(np.uint32), np.array([r["n"] for r in top], np.int64)
+    order = np.argsort(found)
+    return found[order], counts[order]
+
+
+def head(shingles: np.ndarray, least: float, common: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
+    """The first shingles of a set, rare before common, of which a set with a similarity of `least`
+    has at least one among its own first."""
+    n = len(shingles)
+    if not n:
+        return shingles
+    first = min(n, n - int(np.ceil(least * n - 1e-6)) + 1)
+    if common is None or not len(common[0]):
+        return shingles[:first]
+    own = shingles.view(np.uint32)
+    at = np.minimum(np.searchsorted(common[0], own), len(common[0]) - 1)
+    return shingles[np.argsort(np.where(common[0][at] == own, common[1][at], 0), kind="stable")[:first]]
+
+
+def marked(docs: DataFrame, words: int, doc_id: str, text: str, least: float = SIMILARITY, common: tuple[np.ndarray, np.ndarray] | None = None) -> DataFrame:
+    """(doc_id, mark, fp, node, n, sketch, head) of every row; node is the same for texts of the same
     words, n is the number of distinct shingles."""
 
     def run(batches):
@@ -83,11 +125,12 @@ def marked(docs: DataFrame, words: int, doc_id: str, text: str) -> DataFrame:
             node = np.array([xxhash.xxh64_intdigest(b" ".join(word_list(t)), 7) for t in texts], np.uint64).view(np.int64)
             sets = [shingle_set(t, words) for t in texts]
             sizes, sketches = pa.array([len(s) for s in sets], pa.int64()), pa.array([sketch(s) for s in sets], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), fp, pa.array(node), sizes, sketches], names=["doc_id", "mark", "fp", "node", "n", "sketch"])
+            heads = pa.array([head(s, least, common) for s in sets], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), fp, pa.array(node), sizes, sketches, heads], names=["doc_id", "mark", "fp", "node", "n", "sketch", "head"])
 
     kind = docs.schema[doc_id].dataType.simpleString()
     own = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("mark"), F.col(text).alias("text"))
-    return own.mapInArrow(run, f"doc_id {kind}, mark long, fp long, node long, n long, sketch long")
+    return own.mapInArrow(run, f"doc_id {kind}, mark long, fp long, node long, n long, sketch long, head array<int>")
 
 
 def likest_forest(fps: np.ndarray, sizes: np.ndarray, sketches: np.ndarray, known: int, radius: int, least: float, also: int = 0) -> list[tuple[int, int]]:
@@ -170,6 +213,59 @@ def candidates(kinds: DataFrame, radius: int = RADIUS, segments: int = SEGMENTS,
     return rows.mapInArrow(run, "a long, b long").where("a <> b").distinct()
 
 
+def across(kinds: DataFrame, roots: DataFrame, least: float = SIMILARITY) -> DataFrame:
+    """(a, b), a below b: all pairs of different components (node, root; nodes that are not there are
+    alone) that may have the similarity: none that has it is left out."""
+
+    def run(batches):
+        held = [np.zeros(0, np.int64) for _ in range(4)]
+        for batch in batches:
+            held = [np.concatenate((h, c.to_numpy(zero_copy_only=False))) for h, c in zip(held, batch.columns, strict=True)]
+            if len(held[0]) and held[0][0] != held[0][-1]:
+                cut = np.searchsorted(held[0], held[0][-1])  # the last bucket may go on
+                yield from bucketed(*[h[:cut] for h in held])
+                held = [h[cut:] for h in held]
+        yield from bucketed(*held)
+
+    def ends(new):
+        """For each row the end of its run; new tells the first rows of the runs but the first."""
+        last = np.append(np.flatnonzero(new) + 1, len(new) + 1)
+        return np.repeat(last, np.diff(last, prepend=0))
+
+    def bucketed(keys, roots, nodes, info):
+        if not len(keys):
+            return
+        sizes, places = info >> 32, info & 0xFFFFFFFF
+        other = keys[1:] != keys[:-1]
+        partner, stop = ends(other | (roots[1:] != roots[:-1])), ends(other)  # sorted by root: the own component is passed over
+        at, found, many = np.arange(len(keys)), [], 0
+        while True:
+            going = partner < stop
+            at, partner, stop = at[going], partner[going], stop[going]
+            if not len(at):
+                break
+            a, b = sizes[at], sizes[partner]
+            need = np.ceil((a + b) * (least / (1 + least)) - 1e-6)  # shared at the similarity; all lie at or after the first
+            fits = (np.minimum(a, b) >= least * np.maximum(a, b) - 1e-6) & (np.minimum(a - places[at], b - places[partner]) >= need)
+            found.append(np.sort(np.stack((nodes[at[fits]], nodes[partner[fits]]), axis=1), axis=1))
+            many += len(found[-1])
+            if many >= BLOCK:
+                yield packed(found)
+                found, many = [], 0
+            partner = partner + 1
+        yield packed(found)
+
+    def packed(found):
+        pairs = np.unique(np.concatenate([np.zeros((0, 2), np.int64), *found]), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
+    parts = int(kinds.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = kinds.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "n", F.posexplode("head").alias("place", "key"))
+    rows = rows.select(F.col("key").cast("long").alias("key"), "root", "node", (F.shiftleft("n", 32) + F.col("place")).alias("info"))
+    rows = rows.repartition(parts, "key").sortWithinPartitions("key", "root", "node")
+    return rows.mapInArrow(run, "a long, b long").distinct()
+
+
 def verified(edges: DataFrame, sets: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """Those of edges (a, b) whose sets (node, shingles) have the similarity."""
 
@@ -202,13 +298,19 @@ def classes(docs: DataFrame, words: int = WORDS, least: float = SIMILARITY, radi
 
     A null text counts as empty; texts without words are one class, texts of the same words (case
     of A-Z and white space apart) too.  Repeated rows are in one class.  An empty table gives none."""
-    own = spool(marked(docs, words, doc_id, text), "marked")
-    kinds = spool(own.groupBy("fp", "node", "n", "sketch").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")).alias("lead")), "kinds")
+    own = spool(marked(docs, words, doc_id, text, least, common_shingles(docs, words, text)), "marked")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark"))
+    kinds = spool(own.groupBy("fp", "node", "n", "sketch").agg(first.alias("lead"), F.first("head").alias("head")), "kinds")
+
+    def compared(edges):
+        ends = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
+        wanted = spool(kinds.join(ends, "node").select(F.col("lead.doc_id").alias("k_id"), F.col("lead.mark").alias("k_mark"), "node"), "wanted")
+        return spool(verified(edges, spool(sets_of(docs, wanted, words, doc_id, text), "sets"), least), "links")
+
     edges = spool(candidates(kinds, radius, segments, least), "candidates")
-    ends = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
-    wanted = spool(kinds.join(ends, "node").select(F.col("lead.doc_id").alias("k_id"), F.col("lead.mark").alias("k_mark"), "node"), "wanted")
-    sets = spool(sets_of(docs, wanted, words, doc_id, text), "sets")
-    nodes = components(verified(edges, sets, least))
+    roots = spool(components(compared(edges)), "roots")
+    more = spool(across(kinds, roots, least).join(edges, ["a", "b"], "left_anti"), "across")
+    nodes = components(compared(more).union(roots.select("node", "root")))
     linked = spool(kinds.select("node", "lead").join(nodes, "node"), "linked")
     leads = linked.join(linked.groupBy("root").agg(F.min("lead").alias("first")), "root").select("node", "first")
     alone = own.join(kinds.select("node", "lead"), "node")
