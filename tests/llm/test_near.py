@@ -174,3 +174,15 @@ def test_heads_of_similar_sets_meet(common):
             met += 1
             assert len(np.intersect1d(near.head(a, 0.8, often), near.head(b, 0.8, often)))
     assert met > 100
+
+
+def test_repeated_lines_do_not_hide_a_copy(spark):
+    rng, rows = random.Random(12), []
+    for i in range(40):
+        base, line = other_words(rng, 300), other_words(rng, 12)
+        rows += [" ".join(base), " ".join(base + line * (5 if i % 2 else 10))]
+    rows = list(enumerate(rows))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    kinds = near.marked(df, 5, "doc_id", "text")
+    assert len(near.candidates(kinds).collect()) >= 40  # by fingerprints alone
+    assert {r["doc_id"] for r in near.near_deduplicated(df).collect()} == set(range(0, 80, 2))
