@@ -78,6 +78,17 @@ def test_products_with_ties_nulls_and_hot_vectors(spark):
     assert voronoi.top_products(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("copies", [11, 25])
+def test_voronoi_with_repeated_ids(spark, copies, monkeypatch):
+    rows = [(100, [9.0, 0.0])] * copies + [(i, [i / 8, i % 7 / 4]) for i in range(1, 31)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    products = sorted((-(9 * 1024) * (1024 * i // 8), i) for i in range(1, 31))
+    expected = [(100, rank, i, -score) for rank, (score, i) in enumerate(products[:10], 1)]
+    for most in (voronoi.COPIES, 5):
+        monkeypatch.setattr(voronoi, "COPIES", most)
+        assert sorted(map(tuple, voronoi.top_products(df).collect())) == expected
+
+
 @pytest.fixture(scope="module")
 def encoder():
     return bpe.Encoder(open(PATH, encoding="utf-8").read(), leaf=7, piece=40)

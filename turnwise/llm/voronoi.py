@@ -3,8 +3,8 @@
 Inner products become Euclidean distances when each candidate x gets one more coordinate,
 sqrt(M - |x|^2), where M is the largest squared length, and each query q gets 0: then
 |q - x|^2 = |q|^2 + M - 2 q.x.  Queries and candidates are grouped by their nearest pivot.  From
-summaries of the groups (the radius of the queries around a pivot, the k+1 smallest distances of
-the candidates around each) comes a bound for each group of queries within which its k nearest
+summaries of the groups (the radius of the queries around a pivot, the smallest distances of the
+candidates around each, k and as many as an asked id has rows) comes a bound for each group of queries within which its k nearest
 lie; a candidate goes to a group only if the triangle inequality does not rule it out.  Groups are
 solved apart, in chunks of candidates, by exact integer products, and each query's chunks merged.
 """
@@ -21,6 +21,9 @@ from .common import spool
 #: Pivots; reducer groups they are packed into; candidates of a chunk and queries of a block.
 PIVOTS, GROUPS, CHUNK, QUERIES = 64, 8, 32768, 16384
 
+#: Rows of an asked id up to which bounds are taken; beyond, all candidates are dealt to all groups.
+COPIES = 10_000
+
 
 def whole_numbers(vector: Column, factor: int = 1024) -> Column:
     """floor(factor * x) of each component as long; null if the vector takes no part."""
@@ -93,13 +96,17 @@ def _one_shape(spark, rows: DataFrame, dim: int, top: float, n: int, q: int, k:
     raised = np.hstack((centres, np.sqrt(np.maximum(0, top - (centres**2).sum(1)))[:, None]))
     slack = 1e-6 * (1 + np.sqrt(top))  # far above rounding: bounds only grow
 
+    # a query's own rows, all of its id, are no neighbours: as many more distances are kept
+    copies = rows.where(F.col("id") % every == 0).groupBy("id").count().agg(F.max("count")).first()[0]
+    held = k + min(copies, COPIES)
+
     def to_pivots(v: np.ndarray, query: bool) -> np.ndarray:
         more = np.zeros(len(v)) if query else np.sqrt(np.maximum(0, top - (v.astype(float) ** 2).sum(1)))
         x = np.hstack((v.astype(float), more[:, None]))
         return np.sqrt(np.maximum(0, (x**2).sum(1)[:, None] + (raised**2).sum(1)[None] - 2 * x @ raised.T))
 
     def summary(batches):
-        """Of each partition and pivot: the queries' radius, and the k+1 smallest distances."""
+        """Of each partition and pivot: the queries' radius, and the `held` smallest distances."""
         far, near = np.full(len(raised), -1.0), [np.zeros(0) for _ in raised]
         for batch in batches:
             v, ids = as_matrix(batch.column(1), dim), batch.column(0).to_numpy(zero_copy_only=False)
@@ -110,18 +117,18 @@ def _one_shape(spark, rows: DataFrame, dim: int, top: float, n: int, q: int, k:
             d = to_pivots(v, False)
             at, least = d.argmin(1), d.min(1)
             for p in np.unique(at):
-                near[p] = np.sort(np.concatenate((near[p], least[at == p])))[: k + 1]
+                near[p] = np.sort(np.concatenate((near[p], least[at == p])))[:held]
         yield pa.RecordBatch.from_arrays([pa.array(range(len(raised)), pa.int32()), pa.array(far), pa.array([x.tolist() for x in near], pa.list_(pa.float64()))], names=["p", "far", "near"])
 
     found = rows.select("id", "v").mapInArrow(summary, "p int, far double, near array<double>").groupBy("p")
-    found = found.agg(F.max("far").alias("far"), F.slice(F.sort_array(F.flatten(F.collect_list("near"))), 1, k + 1).alias("near")).orderBy("p").collect()
+    found = found.agg(F.max("far").alias("far"), F.slice(F.sort_array(F.flatten(F.collect_list("near"))), 1, held).alias("near")).orderBy("p").collect()
     between = np.sqrt(np.maximum(0, (raised**2).sum(1)[:, None] + (raised**2).sum(1)[None] - 2 * raised @ raised.T))
     far = np.array([r["far"] for r in found])
     bound = np.full(len(raised), np.inf)
     for i in np.flatnonzero(far >= 0):
         ends = np.sort(np.concatenate([between[i, j] + far[i] + np.array(r["near"]) for j, r in enumerate(found)]))
-        if len(ends) > k:  # one of them may be the query's own row
-            bound[i] = ends[k] + slack
+        if copies <= COPIES and len(ends) >= held:  # so many of them may be the query's own rows
+            bound[i] = ends[held - 1] + slack
     order = np.argsort(-far, kind="stable")
     group = np.empty(len(raised), np.int64)
     group[order] = np.arange(len(raised)) % GROUPS
