@@ -186,3 +186,16 @@ def test_repeated_lines_do_not_hide_a_copy(spark):
     kinds = near.marked(df, 5, "doc_id", "text")
     assert len(near.candidates(kinds).collect()) >= 40  # by fingerprints alone
     assert {r["doc_id"] for r in near.near_deduplicated(df).collect()} == set(range(0, 80, 2))
+
+
+def test_links_among_look_alikes_that_fail(spark):
+    rng = random.Random(77)
+    base, rows = other_words(rng, 400), []
+    for i in range(150):
+        text = block_replaced(rng, base, 0.87)  # two of these are mostly at 0.75 to 0.8
+        rows.append(" ".join(text))
+        if i % 3 == 0:
+            rows.append(" ".join(block_replaced(rng, text, 0.81)))
+    rows = list(enumerate(rows))
+    expected = brute(rows)
+    assert classes_of(spark, rows) == expected
