@@ -1,35 +1,39 @@
 """Main text of web pages by two-pass block rules.
 
-The page is cut into blocks at block-level tags.  First each block is classed on its own: what
-stands in navigation, headers, footers, sidebars, notices, adverts, forms or reader comments is
-bad, as is a block of mostly link text; a long block with many stop words, or one of an article's
-paragraphs, is good; what is too short to tell is ambiguous.  Then ambiguous blocks inherit the
-label of the nearest decided neighbours: good if both are, or if the nearer one is (a heading
-looks to what follows it).
+The page is cut into blocks at block-level tags.  First each block is classed on its own, by stop
+words, length and links: a block of mostly link text is bad, a long one with many stop words good,
+what is too short or has too few of them to tell is undecided.  Then undecided blocks inherit the
+label of the nearest decided neighbours.  No tag makes a block good; what is marked as navigation,
+header, footer, sidebar, notice, advert, form or reader comments is bad from the start, since long
+comments read like an article.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
+from dataclasses import dataclass
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-#: Function words of the languages that the classifier knows.
+#: Common function words of English, French, German and Spanish; other languages' come from the
+#: page itself, by stop_words().
 STOP_WORDS = frozenset(
-    """a about after all also an and are as at be been but by can could for from had has have he her his how i if in
-    into is it its more not of on one or our she so some than that the their them then there these they this to was we
-    were what when which who will with would you your
-    au aux avec ce ces dans de des du elle en est et il ils je la le les leur lui mais ne nous on ou par pas plus pour
-    qu que qui sa se ses son sur un une vous
-    aber als am auch auf aus bei das dem den der die ein eine einem einen einer er es für hat ich im ist mit nach nicht
-    noch nur oder sich sie sind so um und von vor war wie wir wird zu zum zur über
-    al como con del el ella entre era esta este fue ha hay la las lo los me muy más no nos o para pero por se ser si sin
-    sobre su sus también un una y ya""".split()
+    """a an and are as at be but by for from had has have he her his i if in is it its not of on or she so that the
+    their they this to was we were which who will with would you
+    au aux avec ce dans de des du elle en est et il je la le les leur ne nous ou par pas pour qu que qui sa se ses son
+    sur un une vous
+    aber als am auf aus bei das dem den der die ein eine einen er es für ich im ist mit nach nicht sich sie sind um und
+    von vor war wie wir zu zum zur über
+    al como con del el era esta este fue los me más no para pero por sin su sus también una y ya""".split()
 )
 BLOCKS = frozenset("address article aside blockquote body br caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: What blocks stand in together.
+CONTAINERS = frozenset("article aside blockquote body center details dialog div dl fieldset figure footer form header main menu nav ol section table td ul".split())
 #: Their content is no text of the page.
 HIDDEN = frozenset("button canvas datalist head iframe math menu nav noframes noscript object option script select style svg template textarea title footer form aside dialog".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript".split())
@@ -39,23 +43,38 @@ ROLES = frozenset("navigation banner contentinfo complementary search form dialo
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+(?:[\"'][^>]*)?)>", re.S)
 _MARKS = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 _WORDS = re.compile(r"[^\W\d_]+")
+#: Letters of the longest word that a page's own counts can make a stop word, and the share of its
+#: blocks (and the least number of them) that such a word stands in.
+BRIEF, OFTEN, LEAST = 5, 0.2, 3
 #: Characters and stop-word shares of the rules, and the share of link text of a bad block.
-SHORT, LONG, FEW, MANY, LINKED = 70, 200, 0.1, 0.25, 0.5
-GOOD, BAD, NEAR_GOOD, SHORT_BLOCK = "good", "bad", "near", "short"
+SHORT, LONG, FEW, MANY, LINKED, SOME = 70, 200, 0.06, 0.15, 0.5, 0.2
+GOOD, BAD, NEAR, AMBIGUOUS = "good", "bad", "near", "ambiguous"
 
 
-def blocks(page: str) -> list[tuple[str, int, bool, bool, bool]]:
-    """(text, characters in links, is a heading, stands in an article, stands in what is no main
-    text) of each block that has text, in page order."""
-    out: list[tuple[str, int, bool, bool, bool]] = []
+@dataclass
+class Block:
+    """Text between two block-level tags; linked: characters in links; marked: stands in what is
+    marked as no main text; path: the containers it stands in, from the outermost."""
+
+    text: str
+    linked: int
+    heading: bool
+    marked: bool
+    path: tuple[int, ...]
+
+
+def blocks(page: str) -> list[Block]:
+    """The blocks that have text, in page order."""
+    out: list[Block] = []
     parts: list[str] = []
     open_tags: list[tuple[str, bool]] = []  # name, hides its content
-    state = {"linked": 0, "a": 0, "article": 0, "hidden": 0, "heading": 0}
+    path: list[int] = []
+    state = {"linked": 0, "a": 0, "article": 0, "hidden": 0, "heading": 0, "container": 0}
 
     def flush():
         text = " ".join("".join(parts).split())
         if text:
-            out.append((text, state["linked"], state["heading"] > 0, state["article"] > 0, state["hidden"] > 0))
+            out.append(Block(text, state["linked"], state["heading"] > 0, state["hidden"] > 0, tuple(path)))
         parts.clear()
         state["linked"] = 0
 
@@ -69,6 +88,11 @@ def blocks(page: str) -> list[tuple[str, int, bool, bool, bool]]:
         for key, hit in (("a", name == "a"), ("article", name in ("article", "main")), ("heading", name in HEADINGS), ("hidden", hides)):
             if hit:
                 state[key] += by
+        if name in CONTAINERS and by > 0:
+            state["container"] += 1
+            path.append(state["container"])
+        elif name in CONTAINERS:
+            path.pop()
 
     at, n = 0, len(page)
     while at < n:
@@ -114,55 +138,86 @@ def blocks(page: str) -> list[tuple[str, int, bool, bool, bool]]:
     return out
 
 
-def label(text: str, linked: int, heading: bool, article: bool, hidden: bool) -> str:
-    """The first pass."""
-    if hidden or linked > LINKED * len(text):
+def stop_words(words: list[list[str]]) -> set[str]:
+    """The stop words of a page: the known ones, and brief words that stand in many of its blocks,
+    whatever the language."""
+    held = Counter(w for own in words for w in set(own) if len(w) <= BRIEF)
+    least = max(LEAST, OFTEN * sum(len(own) >= 5 for own in words))
+    return STOP_WORDS | {w for w, n in held.items() if n >= least}
+
+
+def label(block: Block, words: list[str], stop: set[str]) -> str:
+    """The first pass: a block by itself.  Link text decides against a block, many stop words in a
+    long block for it; few of them do not decide, unless there are links too."""
+    linked = block.linked / len(block.text)
+    if block.marked or linked > LINKED:
         return BAD
-    words = _WORDS.findall(text.lower())
-    share = sum(w in STOP_WORDS for w in words) / len(words) if words else 0.0
-    if heading:
-        return SHORT_BLOCK
-    if article:  # paragraphs of an article are good unless there is a sign against them
-        return GOOD if len(text) >= SHORT or share >= FEW else SHORT_BLOCK
-    if len(text) < SHORT:
-        return SHORT_BLOCK
+    if block.heading or len(block.text) < SHORT:
+        return AMBIGUOUS
+    share = sum(w in stop for w in words) / len(words) if words else 0.0
     if share >= MANY:
-        return GOOD if len(text) >= LONG else NEAR_GOOD
-    return NEAR_GOOD if share >= FEW else BAD
+        return GOOD if len(block.text) >= LONG else NEAR
+    return NEAR if share >= FEW else BAD if linked > SOME else AMBIGUOUS
+
+
+def shared(a: tuple, b: tuple) -> int:
+    return next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+
+
+def settled(found: list[Block], labels: list[str]) -> list[bool]:
+    """The second pass: whether each block is kept.  Undecided blocks get the label of the nearest
+    decided neighbours: of that which shares more containers, then of that fewer blocks away; the
+    ends of the page count as bad.  A tie goes for near blocks, against others."""
+    if GOOD not in labels:
+        labels = promoted(found, labels)
+    n = len(labels)
+    before, after = [(BAD, 0, n)] * n, [(BAD, 0, n)] * n
+    for order, nearest in ((range(n), before), (range(n - 1, -1, -1), after)):
+        last = None
+        for steps, i in enumerate(order):
+            nearest[i] = (BAD, min(1, len(found[i].path)), -steps - 1) if last is None else (labels[last], shared(found[i].path, found[last].path), -abs(i - last))
+            if labels[i] in (GOOD, BAD):
+                last = i
+    keep = []
+    for block, own, (left, *near_left), (right, *near_right) in zip(found, labels, before, after, strict=True):
+        if own in (GOOD, BAD):
+            keep.append(own == GOOD)
+        elif left == right:
+            keep.append(left == GOOD)
+        elif block.heading:
+            keep.append(right == GOOD)  # a heading looks to what follows it
+        elif near_left == near_right:
+            keep.append(own == NEAR)
+        else:
+            keep.append((left if near_left > near_right else right) == GOOD)
+    return keep
+
+
+def promoted(found: list[Block], labels: list[str]) -> list[str]:
+    """Labels of a page without a good block: near ones count as good; without these, of the runs of
+    undecided blocks that with the most text does, from its first heading on if it has one."""
+    if NEAR in labels:
+        return [GOOD if x == NEAR else x for x in labels]
+    runs, at = [], 0
+    for bad, own in groupby(x == BAD for x in labels):
+        size = len(list(own))
+        if not bad:
+            start = next((i for i in range(at, at + size) if found[i].heading), at)
+            runs.append((sum(len(found[i].text) for i in range(start, at + size)), -start, at + size))
+        at += size
+    if not runs:
+        return labels
+    _, start, end = max(runs)
+    return [GOOD if -start <= i < end else x for i, x in enumerate(labels)]
 
 
 def main_text(page: str | None) -> str:
     """The main text of a page; empty if it has none, as for a null or empty page."""
     found = blocks(page or "")
-    labels = [label(*b) for b in found]
-    decided = [x if x in (GOOD, BAD) else None for x in labels]
-    n = len(found)
-    before, after = [(BAD, n + 1)] * n, [(BAD, n + 1)] * n
-    for order, nearest in ((range(n), before), (range(n - 1, -1, -1), after)):
-        last, steps = BAD, n
-        for i in order:
-            nearest[i] = (last, steps)
-            last, steps = (decided[i], 1) if decided[i] else (last, steps + 1)
-    if GOOD not in labels and any(x == NEAR_GOOD for x in labels):  # nothing is long: the better of the short
-        decided = [GOOD if x == NEAR_GOOD else d for x, d in zip(labels, decided, strict=True)]
-    elif GOOD not in labels and any(b[3] and x == SHORT_BLOCK for b, x in zip(found, labels, strict=True)):
-        decided = [GOOD if b[3] and x == SHORT_BLOCK else d for b, x, d in zip(found, labels, decided, strict=True)]
-    keep = []
-    for b, x, own, (left, near_left), (right, near_right) in zip(found, labels, decided, before, after, strict=True):
-        if own is None:
-            if left == right:
-                own = left
-            elif b[3]:  # in an article: what is not bad by itself goes with the good side
-                own = GOOD
-            elif b[2]:
-                own = right
-            elif x == NEAR_GOOD:
-                own = GOOD
-            else:
-                own = left if near_left < near_right else right if near_right < near_left else BAD
-        if own == GOOD:
-            keep.append(b[0])
-    return " ".join(keep)
+    words = [_WORDS.findall(b.text.lower()) for b in found]
+    stop = stop_words([w for w, b in zip(words, found, strict=True) if not b.marked and b.linked <= LINKED * len(b.text)])
+    keep = settled(found, [label(b, w, stop) for b, w in zip(found, words, strict=True)])
+    return " ".join(b.text for b, own in zip(found, keep, strict=True) if own)
 
 
 def extracted(pages: DataFrame, page_id: str = "page_id", url: str = "url", page: str = "html") -> DataFrame:
