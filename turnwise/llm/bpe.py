@@ -1,13 +1,16 @@
 """Byte-level BPE over whole texts: encoding, decoding and token counts.
 
-A text is cut at places where the tokenizer itself always cuts: at special tokens and between a
-character that is no white space and one that is.  What lies between is split by the tokenizer's
-own pattern.  A piece that the pattern leaves whole and that is long is encoded by *tree
-concatenation*: its halves are encoded apart (all leaves in one parallel batch), then a growing
-window of tokens around each join is encoded anew until its first token agrees with the left
-half and its last with the right half.  A sequence of BPE tokens is the encoding of its bytes if
-and only if each two neighbours are the encoding of their own bytes, so the spliced sequence is
-exact once both ends agree.
+*Encoding* a long text goes by *tree concatenation*.  The text is halved, wherever that falls, down
+to leaves, all leaves are encoded in one parallel batch, and halves are joined: a window of the last
+tokens of the left and the first of the right half is encoded anew, and grows until it agrees with
+both.  It agrees with a side at a place between two characters where the tokenizer's pattern always
+cuts (what stands before such a place and what follows it are encoded the same with or without the
+other), or, where an unsplit run of letters, digits, signs or white space fills the side, when its
+outermost token is that side's token: a sequence of BPE tokens is the encoding of its bytes if and
+only if each two neighbours are the encoding of their own bytes.  So the spliced sequence is exact.
+
+*Counting* cuts long texts at safe places only (white space after another character) and encodes
+what lies between in batches; no ids are kept.
 """
 
 from __future__ import annotations
@@ -28,9 +31,19 @@ PLAIN = (
     "\\x00-\u052f\u2000-\u2064\u20a0-\u20bf\u2190-\u2426\u2500-\u2b73\u3000-\u303f"
     "\u3041-\u3096\u3099-\u30ff\u4e00-\u9fa5\uac00-\ud7a3\uff01-\uff5e\U0001f300-\U0001f64f"
 )
-#: Characters of a safe piece and of a leaf of the tree.
-PIECE, LEAF = 1 << 18, 2048
+#: Characters of a safe piece, of a leaf of the tree, and of a text that goes by the tree.
+PIECE, LEAF, LONG = 1 << 18, 2048, 4096
+#: Tokens on each side of a window at first; threads of a batch of leaves.
+WINDOW, THREADS = 8, 2
 BYTES_PER_BATCH = 1 << 20
+#: Places where the pattern cuts whatever stands around: after letters or digits that end, and
+#: before white space that follows another character.
+EDGE = (
+    rf"(?V1)(?<=[[{PLAIN}]&&\p{{L}}])(?=[[{PLAIN}]&&\P{{L}}])|(?<=[[{PLAIN}]&&\p{{N}}])(?=[[{PLAIN}]&&\P{{N}}])"
+    rf"|(?<=[[{PLAIN}]&&\S])(?=[[{PLAIN}]&&\s])"
+)
+#: A run that the pattern leaves whole, but for a part that both its encodings share.
+RUN = rf"(?V1)[[{PLAIN}]&&\p{{L}}]+|[[{PLAIN}]&&\p{{N}}]+|[[{PLAIN}]&&[^\s\p{{L}}\p{{N}}']]+|[[{PLAIN}]&&\s]+"
 
 
 def safe_pieces(text: str, limit: int = PIECE) -> Iterator[str]:
@@ -51,21 +64,22 @@ def safe_pieces(text: str, limit: int = PIECE) -> Iterator[str]:
 class Encoder:
     """A tokenizer of the tokenizers library with a byte-level vocabulary, for whole texts.
 
-    Where the vocabulary's ids follow its merges, short words are encoded by a rank table of the
-    same merges (tiktoken), which gives the same ids several times faster; else by the library."""
+    Where the vocabulary's ids follow its merges, leaves and windows are encoded by a rank table of
+    the same merges (tiktoken), which gives the same ids several times faster; else, and where a
+    character may be classed otherwise, by the library.  joins counts the joins so far."""
 
-    def __init__(self, spec: str, leaf: int = LEAF, piece: int = PIECE, ranked: bool = True):
+    def __init__(self, spec: str, leaf: int = LEAF, piece: int = PIECE, long: int = LONG, ranked: bool = True):
         import regex
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_str(spec)
         self.tok.no_padding()
         self.tok.no_truncation()
-        self.pattern, self.gap = regex.compile(PATTERN), regex.compile(rf"\s{{{leaf}}}")
-        self.odd = regex.compile(f"[^{PLAIN}]")
+        self.gap, self.odd = regex.compile(rf"\s{{{LEAF}}}"), regex.compile(f"[^{PLAIN}]")
+        self.edge, self.run = regex.compile(EDGE), regex.compile(RUN)
         self.special = {t.content: i for i, t in self.tok.get_added_tokens_decoder().items()}
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.leaf, self.piece = leaf, piece
+        self.leaf, self.piece, self.long, self.joins = leaf, piece, long, 0
         alphabet = {c: b for b, c in byte_alphabet().items()}
         self.raw: list[bytes] = []
         for i in range(self.tok.get_vocab_size(with_added_tokens=True)):
@@ -75,64 +89,99 @@ class Encoder:
         self.name = [str(i) for i in range(len(self.raw))]
         self.ranks = rank_table(spec, self.raw, self.special) if ranked else None
 
-    def plain(self, piece: str) -> bool:
+    def plain(self, text: str) -> bool:
         """Whether the rank table may encode it: known characters, no long unsplit word."""
-        return self.ranks is not None and not self.odd.search(piece) and max(map(len, piece.split()), default=0) <= self.leaf and not self.gap.search(piece)
-
-    def parts(self, text: str) -> Iterator[list[int]]:
-        """The ids of the text, piece after piece."""
-        for segment in self.cut.split(text) if self.cut else [text]:
-            if segment in self.special:
-                yield [self.special[segment]]
-            elif segment:
-                for piece in safe_pieces(segment, self.piece):
-                    if self.plain(piece):
-                        yield self.ranks.encode_ordinary(piece)
-                    else:
-                        yield from self.slowly(piece)
-
-    def slowly(self, piece: str) -> Iterator[list[int]]:
-        """By the library; the words that the pattern leaves whole and long by the tree."""
-        odd = self.odd.search(piece)
-        spans = [x for _, x in self.tok.pre_tokenizer.pre_tokenize_str(piece)] if odd else [m.span() for m in self.pattern.finditer(piece)]
-        if max((b - a for a, b in spans), default=0) <= self.leaf:
-            yield self.tok.encode(piece, add_special_tokens=False).ids
-            return
-        short = iter(self.tok.encode_batch_fast([piece[a:b] for a, b in spans if b - a <= self.leaf], add_special_tokens=False))
-        for a, b in spans:
-            yield self.tree(piece[a:b]) if b - a > self.leaf else next(short).ids
+        return self.ranks is not None and not self.odd.search(text) and (len(text) <= LEAF or max(map(len, text.split()), default=0) <= LEAF and not self.gap.search(text))
+
+    def whole(self, text: str) -> list[int]:
+        """The ids of a text without special strings, in one go."""
+        return self.ranks.encode_ordinary(text) if self.plain(text) else self.tok.encode(text, add_special_tokens=False).ids
+
+    def batch(self, texts: list[str], threads: int = 1) -> list[list[int]]:
+        """The same for many at once."""
+        plain = list(map(self.plain, texts))
+        by_rank = iter(self.ranks.encode_ordinary_batch([t for t, p in zip(texts, plain, strict=True) if p], num_threads=threads) if any(plain) else ())
+        others = iter(self.tok.encode_batch_fast([t for t, p in zip(texts, plain, strict=True) if not p], add_special_tokens=False) if not all(plain) else ())
+        return [next(by_rank) if p else next(others).ids for p in plain]
+
+    def segments(self, text: str) -> list[str]:
+        """Special strings and what lies between."""
+        return [x for x in (self.cut.split(text) if self.cut else [text]) if x]
 
     def encode(self, text: str) -> list[int]:
         out: list[int] = []
-        for part in self.parts(text):
-            out += part
+        for x in self.segments(text):
+            out += [self.special[x]] if x in self.special else self.tree(x) if len(x) > self.long else self.whole(x)
         return out
 
-    def count(self, text: str) -> int:
-        return sum(map(len, self.parts(text)))
+    def counts(self, texts: list[str]) -> list[int]:
+        """Numbers of tokens; the safe pieces of all texts are encoded as one batch."""
+        out, pieces, of = [0] * len(texts), [], []
+        for i, text in enumerate(texts):
+            for x in self.segments(text):
+                if x in self.special:
+                    out[i] += 1
+                    continue
+                for piece in safe_pieces(x, self.piece):
+                    if len(piece) > LEAF and (max(map(len, piece.split()), default=0) > LEAF or self.gap.search(piece)):
+                        out[i] += len(self.tree(piece))  # no safe place for long
+                    else:
+                        pieces.append(piece)
+                        of.append(i)
+        for i, ids in zip(of, self.batch(pieces), strict=True):
+            out[i] += len(ids)
+        return out
 
     def decode(self, ids: list[int]) -> str:
         return b"".join(map(self.raw.__getitem__, ids)).decode("utf-8", "replace")
 
-    def tree(self, word: str) -> list[int]:
-        """Tree concatenation of one word that the pattern leaves whole."""
-        leaves = [word[i : i + self.leaf] for i in range(0, len(word), self.leaf)]
-        level = [e.ids for e in self.tok.encode_batch_fast(leaves, add_special_tokens=False)]
+    def tree(self, text: str) -> list[int]:
+        """Tree concatenation of a text without special strings."""
+        leaves = [text[i : i + self.leaf] for i in range(0, len(text), self.leaf)]
+        level = self.batch(leaves, THREADS)
         while len(level) > 1:
             level = [self.join(level[i], level[i + 1]) if i + 1 < len(level) else level[i] for i in range(0, len(level), 2)]
         return level[0]
 
     def join(self, left: list[int], right: list[int]) -> list[int]:
-        raw, width = self.raw, 4
+        """The encoding of two texts together from those of each."""
+        raw, width = self.raw, WINDOW
+        self.joins += 1
         while True:
             a, b = max(0, len(left) - width), min(len(right), width)
-            window = b"".join(raw[i] for i in left[a:]) + b"".join(raw[i] for i in right[:b])
-            follows = raw[right[b]] if b < len(right) else b"a"
-            if (a == 0 or window[0] & 0xC0 != 0x80) and follows[0] & 0xC0 != 0x80:
-                new = self.tok.encode(window.decode(), add_special_tokens=False).ids
-                if (a == 0 or new[0] == left[a]) and (b == len(right) or new[-1] == right[b - 1]):
-                    return left[:a] + new + right[b:]
+            one, two = b"".join(map(raw.__getitem__, left[a:])), b"".join(map(raw.__getitem__, right[:b]))
+            follows = raw[right[b]][0] if b < len(right) else 0
             width *= 2
+            if (a and one[0] & 0xC0 == 0x80) or follows & 0xC0 == 0x80:
+                continue  # not between two characters
+            before, after = one.decode(), two.decode()
+            new = self.whole(before + after)
+            first = self.settled(before, new, left[a:], a == 0, True)
+            last = self.settled(after, new[::-1], right[:b][::-1], b == len(right), False)
+            if first is None or last is None:
+                continue
+            start, end = self.token_at(new, first), self.token_at(new, len(one) + len(two) - last)
+            if start is not None and end is not None:
+                return left[: a + self.token_at(left[a:], first)] + new[start:end] + right[b - self.token_at(right[:b][::-1], last) :]
+
+    def settled(self, side: str, new: list[int], old: list[int], whole: bool, at_left: bool) -> int | None:
+        """Bytes from the outer end of a side of the window up to a place where the old encoding of
+        that side and the new one agree for good; None if there is none yet."""
+        cuts = [m.start() for m in self.edge.finditer(side) if 0 < m.start() < len(side)]
+        if cuts:
+            outer = side[: cuts[-1]] if at_left else side[cuts[0] :]
+            return len(outer.encode())
+        if whole or self.run.fullmatch(side) and new and new[0] == old[0]:
+            return 0
+        return None
+
+    def token_at(self, ids: list[int], size: int) -> int | None:
+        """How many of the ids make up the first so many bytes; None if a token spans the place."""
+        for n, i in enumerate(ids):
+            if size <= 0:
+                return n if not size else None
+            size -= len(self.raw[i])
+        return len(ids) if not size else None
 
 
 def rank_table(spec: str, raw: list[bytes], special: dict[str, int]):
@@ -213,8 +262,9 @@ def spark_schema(df: DataFrame, more: str):
 
 
 def encode_digests(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every row: what encode_documents finds,
-    reduced to digests where it is found, so that no ids are moved.
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256, n_joins) of every row: what encode_documents
+    finds, reduced to digests where it is found, so that no ids are moved; n_joins counts the joins
+    of the tree.
 
     A null text counts as empty.  Null and repeated doc_ids give a row each."""
     spec = load_spec(docs, path)
@@ -224,16 +274,18 @@ def encode_digests(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str
         names = encoder.name
         for whole in batches:
             for batch in by_bytes(whole, 1):
-                n, a, b = [], [], []
+                n, a, b, joins = [], [], [], []
                 for t in batch.column(1).to_pylist():
+                    encoder.joins = 0
                     found = encoder.encode(t or "")
+                    joins.append(encoder.joins)
                     n.append(len(found))
                     a.append(hashlib.sha256(",".join(map(names.__getitem__, found)).encode()).hexdigest())
                     b.append(hashlib.sha256(encoder.decode(found).encode()).hexdigest())
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string()), pa.array(joins, pa.int64())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "n_joins"])
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    return docs.select(F.col(doc_id).alias("doc_id"), text).mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select(F.col(doc_id).alias("doc_id"), text).mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string, n_joins long")
 
 
 def token_counts(docs: DataFrame, path: str, limit: int = 1024, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -257,7 +309,7 @@ def token_counts(docs: DataFrame, path: str, limit: int = 1024, doc_id: str = "d
             count = lambda texts: [len(x) for x in sp.encode(texts, num_threads=1)]
         elif '"ByteLevel"' in spec.value:
             encoder = Encoder(spec.value)
-            count = lambda texts: list(map(encoder.count, texts))
+            count = encoder.counts
         else:
             from tokenizers import Tokenizer
 
