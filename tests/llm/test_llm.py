@@ -91,7 +91,7 @@ def test_voronoi_with_repeated_ids(spark, copies, monkeypatch):
 
 @pytest.fixture(scope="module")
 def encoder():
-    return bpe.Encoder(open(PATH, encoding="utf-8").read(), leaf=7, piece=40)
+    return bpe.Encoder(open(PATH, encoding="utf-8").read(), leaf=7, piece=40, long=10)
 
 
 def library():
@@ -107,20 +107,47 @@ def test_encoding_equals_the_library(encoder):
         text = "".join(rnd.choice(rnd.choice(kinds)) for _ in range(rnd.randint(0, 150)))
         text += rnd.choice(["", "", "<|endoftext|>" + text])
         ids = encoder.encode(text)
-        assert ids == tok.encode(text, add_special_tokens=False).ids and encoder.count(text) == len(ids)
+        assert ids == tok.encode(text, add_special_tokens=False).ids and encoder.counts([text, "", text]) == [len(ids), 0, len(ids)]
         assert encoder.decode(ids) == text == tok.decode(ids, skip_special_tokens=False)
 
 
 def test_tree_of_long_words(encoder):
     tok = library()
-    for text in ("ab" * 3000, "日本" * 900, " " * 3000, "!?" * 2000 + "x", "a" * 4001):
+    for text in ("ab" * 3000, "日本" * 900, " " * 3000, "!?" * 2000 + "x", "a" * 4001, "'" * 999, "12" * 2000, "ȡ" * 500, "日本、" * 500, " x" * 999 + "\n" * 999):
         assert encoder.encode(text) == tok.encode(text, add_special_tokens=False).ids
+        assert encoder.counts([text]) == [len(encoder.encode(text))]
+
+
+@pytest.mark.parametrize("window", [1, 3])
+def test_windows_grow_until_both_sides_agree(window, monkeypatch):
+    monkeypatch.setattr(bpe, "WINDOW", window)
+    own = bpe.Encoder(open(PATH, encoding="utf-8").read(), leaf=61, long=61)
+    tok, rnd = library(), random.Random(window)
+    kinds = ["ab", "the ", "'s", "s'll", " ", "\n", "  \n", "0123", "日本、", "é", "!?", "''", "x 's", "ȡ՘", "🙂"]
+    for _ in range(400):
+        some = rnd.sample(kinds, rnd.randint(1, 4))
+        text = "".join(rnd.choice(some) * rnd.choice([1, 1, 2, 30]) for _ in range(rnd.randint(20, 120)))
+        assert own.encode(text) == tok.encode(text, add_special_tokens=False).ids
+    assert own.joins > 1000
+
+
+def test_long_documents_go_through_joins(spark):
+    documents = spark.read.parquet(f"{SF}/documents.parquet")
+    known = {r["doc_id"]: r["text"] or "" for r in documents.collect()}
+    got = {r["doc_id"]: r for r in queries.QUERIES["op3_bpe_encode"](spark, SF).collect()}
+    tok, long = library(), {i for i, t in known.items() if len(t) > bpe.LONG}
+    assert long and {i for i, r in got.items() if r["n_joins"]} == long
+    assert all(r["n_joins"] == max(0, -(-len(known[i]) // bpe.LEAF) - 1) for i, r in got.items() if i in long)
+    for i, r in got.items():
+        ids = tok.encode(known[i], add_special_tokens=False).ids
+        assert r["n_tokens"] == len(ids) and r["ids_sha256"] == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
+        assert r["decoded_sha256"] == hashlib.sha256(tok.decode(ids, skip_special_tokens=False).encode()).hexdigest()
 
 
 def test_encoding_and_counting_rows(spark, edge, none):
     tok = library()
     want = sorted((str(r["doc_id"]), len(ids := tok.encode(r["text"] or "", add_special_tokens=False).ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256((r["text"] or "").encode()).hexdigest()) for r in edge.collect())
-    assert sorted((str(r[0]), *r[1:]) for r in bpe.encode_digests(edge, PATH).collect()) == want
+    assert sorted((str(r[0]), *r[1:4]) for r in bpe.encode_digests(edge, PATH).collect()) == want
     counts = sorted((str(r["doc_id"]), r["n_tokens"]) for r in bpe.token_counts(edge, PATH).collect())
     assert counts == sorted((a, b) for a, b, _, _ in want)
     both = bpe.encode_documents(edge, PATH).collect()
@@ -221,7 +248,7 @@ def test_mixing(spark, edge, none):
     for r in got:
         by[r["source"]].append(r)
     assert all(abs(sum(r["taken"] for r in own) - own[0]["target"]) <= 1 for own in by.values())
-    assert sorted(tuple(r) for r in mixing.taken_words(documents.repartition(7)).collect()) == sorted(tuple(r)[:5] for r in got)
+    assert sorted(tuple(r) for r in mixing.taken_words(documents.repartition(7)).collect()) == sorted(tuple(r)[:6] for r in got)
     words = sum(len(r["text"].encode().split()) for r in mixing.mixed(documents).collect())
     assert words == sum(r["taken"] for r in got)
     assert mixing.taken_words(edge).count() == 12 and mixing.taken_words(none).count() == mixing.mixed(none).count() == 0
@@ -263,6 +290,61 @@ def test_shards_follow_the_words_taken():
         assert shard == sum(x <= at for x in plan.until[1].tolist())
 
 
+def brute_mix(rows, shards, block, seed="mix"):
+    """{row number: {shard: words}} by lists of blocks, word by word; rows are (hash, source, size)
+    and the tree's quotas are drawn anew, position after position."""
+    sizes = collections.Counter()
+    for _, s, n in rows:
+        sizes[s] += n
+    goal = mixing.targets(dict(sizes))
+    names = sorted(sizes, key=lambda s: (s is None, s or ""))
+    words, draws = {s: [] for s in names}, {}
+    for r in sorted(range(len(rows)), key=lambda r: rows[r][0]):
+        words[rows[r][1]] += [r] * rows[r][2]
+    for s in names:
+        blocks, left, out = [words[s][i : i + block] for i in range(0, len(words[s]), block)], round(goal[s]), []
+        for turn in range(3):
+            key = int.from_bytes(hashlib.sha256(f"{seed}/{turn}/{s!r}".encode()).digest()[:7], "big")
+            n = len(blocks)
+            place = mixing.permuted(np.arange(n), np.full(n, n), np.full(n, key, np.uint64)).tolist() if n else []
+            for b in sorted(range(n), key=lambda b: place[b]):
+                if left > 0:
+                    out.append(blocks[b][:left])
+                    left -= len(out[-1])
+        draws[s] = out
+    quotas = mixing.split(np.array([len(draws[s]) for s in names]), shards, seed)
+    taken = collections.defaultdict(collections.Counter)
+    for i, s in enumerate(names):
+        mine = iter(draws[s])
+        for shard in range(shards):
+            for _ in range(quotas[shard, i]):
+                for r in next(mine):
+                    taken[r][shard] += 1
+        assert next(mine, None) is None
+    return taken, quotas
+
+
+@pytest.mark.parametrize("block, shards", [(16, 5), (64, 1), (500, 33)])
+def test_mixing_equals_brute_force(spark, block, shards):
+    rnd = random.Random(block)
+    rows = [(i, " ".join(["w"] * rnd.choice([0, 1, 3, 40, 300])), None, rnd.choice(["a", "b", "c", None, "a"]), None) for i in range(150)]
+    rows += [(7, "copy of it", "en", "b", 1)] * 40 + [(None, None, None, None, None), (None, " \t", None, "", 1)]
+    df = spark.createDataFrame([(*r, 1, 2, 3) for r in rows], "doc_id long, text string, lang string, source string, size long, copies int, shard int, k1 int").repartition(3)
+    got = [r.asDict() for r in mixing.taken_words(df, block=block, shards=shards).collect()]
+    from pyspark.sql import functions as F
+
+    keys = mixing.keys_of([F.col("doc_id"), F.col("source"), F.col("text")])
+    order = df.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(mixing.WORD)), F.lit(0)).alias("n"), F.xxhash64(F.lit(3), *keys).alias("h")).collect()
+    want, quotas = brute_mix([(r["h"] % 2**64, r["source"], r["n"]) for r in order], shards, block)
+    assert quotas.sum(1).max() - quotas.sum(1).min() <= 2 * shards
+    key = lambda i, n, t: (-1 if i is None else i, n, tuple(sorted(t.items())))
+    assert sorted(key(r["doc_id"], r["size"], {x["shard"]: x["words"] for x in r["shards"]}) for r in got) == sorted(key(r["doc_id"], r["n"], want[k]) for k, r in enumerate(order))
+    assert all(r["taken"] == sum(x["words"] for x in r["shards"]) <= 2 * r["size"] for r in got)
+    out = mixing.mixed(df, block=block, shards=shards)
+    assert out.columns[: len(df.columns)] == df.columns
+    assert sum(len((r["text"] or "").split()) for r in out.collect()) == sum(r["taken"] for r in got)
+
+
 def test_archives(spark):
     rows = [(1, "http://a/\r\nx", "x" * 100), (2, None, "x" * 100), (3, "u", "é" * 40_000), (4, "u", None), (5, "u", "short"), (6, "u", "short"), (2, "u", "x" * 100), (None, "u", "x" * 100)]
     pages = spark.createDataFrame([(*r, 1) for r in rows], "page_id long, url string, html string, first int")
@@ -309,6 +391,60 @@ def test_pages_give_their_articles(spark):
         assert r["text"] == want and r["n_chars"] == len(want) and r["url"] == p["url"]
 
 
+def article(page):
+    import html
+    import re
+
+    inside = re.search("<article>(.*)</article>", page, re.S)[1]
+    return " ".join(html.unescape(re.sub(r"<[^>]*>", " ", re.sub(r"</?b>", "", inside))).split())
+
+
+@pytest.mark.parametrize("change, least", [("article", 1.0), ("marks", 0.95), ("both", 0.95), ("tags", 0.6)])
+def test_rules_decide_without_tags(spark, change, least):
+    """No article tag; no class, id or role; neither; and no nav or footer besides."""
+    import re
+
+    pages = [r["html"] for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("html").collect()]
+    good = 0
+    for page in pages:
+        want = article(page)
+        if change != "marks":
+            page = page.replace("<article>", "<div>").replace("</article>", "</div>")
+        if change != "article":
+            page = re.sub(r' (class|id|role)="[^"]*"', "", page)
+        if change == "tags":
+            page = re.sub(r"<(/?)(?:nav|footer)>", r"<\1div>", page)
+        good += html_text.main_text(page) == want
+    assert good >= least * len(pages)
+
+
+LONG_TEXT = "It was the way that they had to go in the end of it, and so they did as it is said. " * 4
+OTHER = "Był to dzień, w którym nie było na niebie i na ziemi nic, co by się nie ruszało. Nie było też tak, że się nie da. " * 3
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        (f"<div class='sidebar'><p>{LONG_TEXT}</p></div><div><p>{LONG_TEXT}</p></div><section id='comments'><p>{LONG_TEXT}</p></section>", LONG_TEXT),
+        (f"<div><a href=a>All the news of the day that is fit to read in the evening and at night</a></div><div><p>{LONG_TEXT}</p><p>Short.</p></div><div>Imprint</div>", LONG_TEXT + "Short."),
+        (f"<div role='dialog'>{LONG_TEXT}</div><form><p>{LONG_TEXT}</p></form><div><h2>Head</h2>{LONG_TEXT}<table><tr><td>1</td><td>2</td></tr></table>{LONG_TEXT}</div>", f"Head {LONG_TEXT}1 2 {LONG_TEXT}"),
+        (f"<ul><li><a href=x>Strona</a></li></ul><div><p>{OTHER}</p><p>{OTHER}</p><p>{OTHER}</p></div><div><a href=y>O nas</a></div>", f"{OTHER}{OTHER}{OTHER}"),
+        ("<nav><a href=a>x</a></nav><div>Ad</div><div><h1>Title</h1><p>Two words.</p></div><footer>f</footer>", "Title Two words."),
+        ("plain words without a tag", "plain words without a tag"),
+    ],
+)
+def test_layouts(page, text):
+    assert html_text.main_text(page) == text.strip()
+
+
+def test_extraction_of_odd_tables(spark):
+    rows = [(1, "u", None, 1), (1, "u", None, 1), (None, None, "<p>a", 2), (3, "v", f"<p>{LONG_TEXT * 2000}", 3), (4, "", "", None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, text int")
+    got = sorted((str(r["page_id"]), r["url"], r["n_chars"]) for r in html_text.extracted(pages).collect())
+    assert got == [("1", "u", 0), ("1", "u", 0), ("3", "v", len(LONG_TEXT) * 2000 - 1), ("4", "", 0), ("None", None, 1)]
+    assert html_text.extracted(pages.limit(0)).count() == 0
+
+
 def test_sharding(spark, edge, none):
     names = [f"s{i}" for i in range(7)]
     table = sharding.lookup_table(names, 101)
