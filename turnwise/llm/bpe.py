@@ -31,10 +31,11 @@ PLAIN = (
     "\\x00-\u052f\u2000-\u2064\u20a0-\u20bf\u2190-\u2426\u2500-\u2b73\u3000-\u303f"
     "\u3041-\u3096\u3099-\u30ff\u4e00-\u9fa5\uac00-\ud7a3\uff01-\uff5e\U0001f300-\U0001f64f"
 )
-#: Characters of a safe piece, of a leaf of the tree, and of a text that goes by the tree.
-PIECE, LEAF, LONG = 1 << 18, 2048, 4096
-#: Tokens on each side of a window at first; threads of a batch of leaves.
-WINDOW, THREADS = 8, 2
+#: Characters of a safe piece, of a leaf of the tree, of a text that goes by the tree (if longer),
+#: and of a word that the rank table takes.
+PIECE, LEAF, LONG, WORD = 1 << 18, 4096, 4096, 2048
+#: Tokens on each side of a window at first; leaves from which a batch takes threads, and how many.
+WINDOW, MANY, THREADS = 8, 16, 2
 BYTES_PER_BATCH = 1 << 20
 #: Places where the pattern cuts whatever stands around: after letters or digits that end, and
 #: before white space that follows another character.
@@ -75,7 +76,7 @@ class Encoder:
         self.tok = Tokenizer.from_str(spec)
         self.tok.no_padding()
         self.tok.no_truncation()
-        self.gap, self.odd = regex.compile(rf"\s{{{LEAF}}}"), regex.compile(f"[^{PLAIN}]")
+        self.gap, self.odd = regex.compile(rf"\s{{{WORD}}}"), regex.compile(f"[^{PLAIN}]")
         self.edge, self.run = regex.compile(EDGE), regex.compile(RUN)
         self.special = {t.content: i for i, t in self.tok.get_added_tokens_decoder().items()}
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
@@ -91,7 +92,7 @@ class Encoder:
 
     def plain(self, text: str) -> bool:
         """Whether the rank table may encode it: known characters, no long unsplit word."""
-        return self.ranks is not None and not self.odd.search(text) and (len(text) <= LEAF or max(map(len, text.split()), default=0) <= LEAF and not self.gap.search(text))
+        return self.ranks is not None and not self.odd.search(text) and (len(text) <= WORD or max(map(len, text.split()), default=0) <= WORD and not self.gap.search(text))
 
     def whole(self, text: str) -> list[int]:
         """The ids of a text without special strings, in one go."""
@@ -100,6 +101,8 @@ class Encoder:
     def batch(self, texts: list[str], threads: int = 1) -> list[list[int]]:
         """The same for many at once."""
         plain = list(map(self.plain, texts))
+        if len(texts) < MANY:
+            return [self.ranks.encode_ordinary(t) if p else self.tok.encode(t, add_special_tokens=False).ids for t, p in zip(texts, plain, strict=True)]
         by_rank = iter(self.ranks.encode_ordinary_batch([t for t, p in zip(texts, plain, strict=True) if p], num_threads=threads) if any(plain) else ())
         others = iter(self.tok.encode_batch_fast([t for t, p in zip(texts, plain, strict=True) if not p], add_special_tokens=False) if not all(plain) else ())
         return [next(by_rank) if p else next(others).ids for p in plain]
@@ -123,7 +126,7 @@ class Encoder:
                     out[i] += 1
                     continue
                 for piece in safe_pieces(x, self.piece):
-                    if len(piece) > LEAF and (max(map(len, piece.split()), default=0) > LEAF or self.gap.search(piece)):
+                    if len(piece) > WORD and (max(map(len, piece.split()), default=0) > WORD or self.gap.search(piece)):
                         out[i] += len(self.tree(piece))  # no safe place for long
                     else:
                         pieces.append(piece)
