@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from turnwise.llm import stages
-from turnwise.llm.common import spool
+from turnwise.llm.common import discard, scratch, spool
 
 STAGES = [
     ("language_id", stages.language_id),
@@ -24,8 +24,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for number, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if number + 1 < len(STAGES):
-            docs = spool(docs, f"pipeline-{name}")
-    return docs
+    for number, (name, stage) in enumerate(STAGES[:-1]):
+        with scratch() as keep:
+            done = keep(spool(stage(spark, docs, sf_dir), f"pipeline-{name}"))
+        if number:
+            discard(docs)
+        docs = done
+    return STAGES[-1][1](spark, docs, sf_dir)

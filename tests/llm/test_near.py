@@ -74,51 +74,6 @@ def test_edges(spark):
     assert near.classes(empty).count() == near.near_deduplicated(empty).count() == 0
 
 
-@pytest.mark.parametrize("known", [1, 7, 40])
-def test_forest_connects_what_is_near(known):
-    rng = np.random.default_rng(known)
-    fps = np.int64(77) ^ (np.int64(1) << rng.integers(0, 62, (40, 3))).sum(1)
-    sizes, sketches = rng.integers(10, 14, 40), rng.integers(0, 1 << 62, 40)
-    edges = near.likest_forest(fps, sizes, sketches, known, 4, 0.8)
-    parent = list(range(40))
-
-    def linked(a, b):
-        return int(fps[a] ^ fps[b]).bit_count() <= 4 and min(sizes[a], sizes[b]) / max(sizes[a], sizes[b]) >= 0.8
-
-    def root(x):
-        while parent[x] != x:
-            x = parent[x]
-        return x
-
-    for a, b in edges:
-        assert linked(a, b) and (a < known or b < known)
-        assert root(a) != root(b)
-        parent[root(a)] = root(b)
-    for i in range(known):
-        for j in range(40):
-            assert i == j or not linked(i, j) or root(i) == root(j)
-
-
-def test_forest_takes_the_likest_first():
-    fps, sizes = np.zeros(3, np.int64), np.full(3, 50)
-    assert set(near.likest_forest(fps, sizes, np.array([0, 0b1111, 0b0001]), 3, 11, 0.8)) == {(0, 2), (2, 1)}
-    more = near.likest_forest(fps, sizes, np.array([0, 0b1111, 0b0001]), 3, 11, 0.8, also=2)
-    assert {tuple(sorted(e)) for e in more} == {(0, 1), (0, 2), (1, 2)}
-    assert near.likest_forest(fps, np.array([50, 39, 0]), np.zeros(3, np.int64), 3, 11, 0.8) == []
-
-
-def test_sketches_differ_by_similarity():
-    a = np.random.default_rng(4).integers(0, 1 << 32, (400, 1000), np.uint32)
-    for share in (0.0, 0.5, 0.9):
-        off = []
-        for row in a:
-            cut = round(1000 * 2 * share / (1 + share))  # this many shared of 1000 gives a similarity of share
-            other = np.concatenate((row[:cut], row[cut:] ^ np.uint32(0x5A5A5A5A)))
-            off.append((near.sketch(np.unique(row).view(np.int32)) ^ near.sketch(np.unique(other).view(np.int32))) & (1 << 64) - 1)
-        assert abs(np.mean([x.bit_count() for x in off]) - 32 * (1 - share)) < 1
-    assert near.sketch(np.zeros(0, np.int32)) == 0
-
-
 def test_similarity_of_sets_is_that_of_shingles():
     a, b = "a b c d e f g h", "A b c d e f g x"
     assert near.similarity(near.shingle_set(a), near.shingle_set(b)) == pytest.approx(jaccard(shingles(a), shingles(b)))
@@ -128,9 +83,95 @@ def test_similarity_of_sets_is_that_of_shingles():
 def test_reruns_agree(spark):
     rows = corpus(9)
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    kinds = [near.marked(df.repartition(n), 5, "doc_id", "text").select("fp", "node", "n", "sketch").distinct() for n in (1, 7)]
-    first, second = (sorted(map(tuple, near.candidates(k).collect())) for k in kinds)
+    kinds = [near.marked(df.repartition(n), 5, "doc_id", "text").select("fp", "node", "n", "counted", "more").distinct() for n in (1, 7)]
+    first, second = ({r["node"]: r["root"] for r in near.components(near.candidates(k)).collect()} for k in kinds)
     assert first and first == second
+    first, second = (sorted(map(tuple, near.neighbours(near.meeting(k)).collect())) for k in kinds)
+    assert first and first == second
+
+
+def bucket_rows(spark, rng, buckets, roots):
+    """Rows (key, root, node, info, bits) of sets of numbers, and the sets."""
+    sets = {n: np.array(rng.sample(range(114), rng.randint(95, 105)), np.int32) for n in range(300)}
+    rows = [(k, roots.get(n, n), n, (len(sets[n]) << 32) + rng.randint(0, 9), near.bitmap(sets[n])) for k, size in enumerate(buckets) for n in rng.sample(range(300), size)]
+    return rows, spark.createDataFrame(rows, "key int, root long, node long, info long, bits binary").repartition(5), sets
+
+
+def may_be_alike(x, y):
+    one, two = (near.words_of(np.array([r[4]], object)) for r in (x, y))
+    return x[1] != y[1] and near.fitting(np.int64(x[3]), np.int64(y[3]), 0.8) and near.alike(np.array([x[3] >> 32]), np.array([y[3] >> 32]), one, two, 0.8)[0]
+
+
+@pytest.mark.parametrize("tile", [3, 50, 4096])
+def test_all_pairs_of_a_bucket_meet_in_tiles(spark, tile):
+    roots = {n: n // 2 * 2 for n in range(200)}
+    rows, frame, sets = bucket_rows(spark, random.Random(tile), [4, 16, 64, 256], roots)
+    got = sorted(map(tuple, near.across(frame, tile=tile).collect()))
+    want = {tuple(sorted((x[2], y[2]))) for x in rows for y in rows if x[0] == y[0] and may_be_alike(x, y)}
+    assert got == sorted(want) and 0 < len(got)
+    exact = {(a, b) for a, b in want if near.similarity(np.sort(sets[a]), np.sort(sets[b])) >= 0.8}
+    met = {tuple(sorted((x[2], y[2]))) for x in rows for y in rows if x[0] == y[0] and x[1] != y[1] and near.fitting(np.int64(x[3]), np.int64(y[3]), 0.8)}
+    assert exact == {(a, b) for a, b in met if near.similarity(np.sort(sets[a]), np.sort(sets[b])) >= 0.8}
+
+
+def kinds_of(spark, sets, often=None):
+    rows = [(i, len(x), *(y.tolist() for y in near.ordered(x, 0.8, often))) for i, x in enumerate(sets)]
+    return spark.createDataFrame(rows, "node long, n long, counted array<int>, more array<int>")
+
+
+def random_sets(rng, space, number):
+    """Sets of which some are others with a few items put in for others."""
+    sets = []
+    for n in rng.choice([1, 2, 4, 5, 9, 10, 45, 100, 301], number):
+        a = rng.choice(space, n, replace=False)
+        if sets and rng.random() < 0.6:
+            b = sets[rng.integers(len(sets))].view(np.uint32)
+            a = np.concatenate((rng.permutation(b)[: len(b) - rng.integers(0, len(b) // 8 + 1)], a[: rng.integers(0, len(b) // 8 + 1)]))
+        sets.append(np.unique(a.astype(np.uint32)).view(np.int32))
+    return sets
+
+
+@pytest.mark.parametrize("common, few", [(False, False), (True, False), (False, True), (True, True)])
+def test_similar_sets_meet_in_their_heads(spark, common, few, monkeypatch):
+    rng = np.random.default_rng(8 + common)
+    space = rng.integers(0, 2**31 if few else 2**32, 900 if few else 20_000, np.int64)
+    often = (np.unique(rng.choice(space, 200)).astype(np.uint32), rng.integers(3, 90, 200)) if common else None
+    often = often and (often[0], often[1][: len(often[0])])
+    sets = random_sets(rng, space, 500)
+    if few:
+        monkeypatch.setattr(near, "PART", 0.05)  # heads need others, too
+    met = near.meeting(kinds_of(spark, sets, often)).collect()
+    heads = {}
+    for r in met:
+        heads.setdefault(r["node"], {})[r["key"]] = r["info"]
+    linked = 0
+    for i, a in enumerate(sets):
+        assert len(heads.get(i, {})) <= near.head_size(len(a), 0.8)
+        assert all(x >> 32 == len(a) and x & 0xFFFFFFFF < near.head_size(len(a), 0.8) for x in heads.get(i, {}).values())
+        for j in range(i):
+            if near.similarity(a, sets[j]) >= 0.8:
+                linked += 1
+                both = heads.get(i, {}).keys() & heads.get(j, {}).keys()
+                assert any(near.fitting(np.int64(heads[i][k]), np.int64(heads[j][k]), 0.8) for k in both)
+    assert linked > 100
+
+
+def test_neighbours_across_batches(spark):
+    rng = random.Random(6)
+    roots = {n: n // 3 * 3 for n in range(150)}
+    rows, frame, _ = bucket_rows(spark, rng, [rng.choice([1, 2, 9]) for _ in range(40)], roots)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    from pyspark.sql import functions as F
+
+    got = sorted(map(tuple, near.adjacent(frame, F.shiftright("info", 32), 0.8).collect()))
+    by_chance = {tuple(r) for r in near.others(frame).collect()}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    want = set()
+    for k in range(40):
+        own = sorted((r for r in rows if r[0] == k), key=lambda r: (r[3] >> 32, r[2]))
+        want |= {tuple(sorted((x[2], y[2]))) for i, y in enumerate(own) if i for x in (own[i - 1], own[0]) if may_be_alike(x, y)}
+    assert got == sorted(want) and got
+    assert by_chance <= {tuple(sorted((x[2], y[2]))) for x in rows for y in rows if x[0] == y[0] and may_be_alike(x, y)}
 
 
 def classes_of(spark, rows):
@@ -161,21 +202,6 @@ def test_replaced_blocks_near_the_threshold(spark):
     assert classes_of(spark, rows) == expected
 
 
-@pytest.mark.parametrize("common", [False, True])
-def test_heads_of_similar_sets_meet(common):
-    rng = np.random.default_rng(8)
-    often = (np.sort(rng.choice(4000, 700, replace=False).astype(np.uint32)), rng.integers(3, 90, 700)) if common else None
-    met = 0
-    for n in [1, 2, 4, 5, 9, 10, 45, 100, 301] * 30:
-        a = rng.choice(4000, n, replace=False)
-        b = np.concatenate((a[: n - int(rng.integers(0, n // 8 + 1))], rng.choice(4000, int(rng.integers(0, n // 8 + 1)))))
-        a, b = (np.unique(x.astype(np.uint32)).view(np.int32) for x in (a, b))
-        if len(b) and near.similarity(a, b) >= 0.8:
-            met += 1
-            assert len(np.intersect1d(near.head(a, 0.8, often), near.head(b, 0.8, often)))
-    assert met > 100
-
-
 def test_repeated_lines_do_not_hide_a_copy(spark):
     rng, rows = random.Random(12), []
     for i in range(40):
@@ -183,8 +209,6 @@ def test_repeated_lines_do_not_hide_a_copy(spark):
         rows += [" ".join(base), " ".join(base + line * (5 if i % 2 else 10))]
     rows = list(enumerate(rows))
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    kinds = near.marked(df, 5, "doc_id", "text")
-    assert len(near.candidates(kinds).collect()) >= 40  # by fingerprints alone
     assert {r["doc_id"] for r in near.near_deduplicated(df).collect()} == set(range(0, 80, 2))
 
 

@@ -74,11 +74,16 @@ def discard(*spooled: DataFrame) -> None:
 
 
 @contextlib.contextmanager
-def scratch(keep: str | None = None):
-    """What is spooled inside is deleted at the end, but for names that begin with `keep`."""
-    before = set(_left)
-    yield
-    for path in [p for p in _left if p not in before and not (keep and p.rpartition("/")[2].startswith(keep))]:
+def scratch():
+    """What is spooled inside is deleted at the end, but for tables given to keep()."""
+    before, kept = set(_left), set()
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.add(df._spooled)
+        return df
+
+    yield keep
+    for path in [p for p in _left if p not in before and p not in kept]:
         _delete(path)
 
 

@@ -1,24 +1,25 @@
 """Near deduplication by SimHash, verified: texts linked by five-word shingles at a similarity of 0.8.
 
 Multi-index hashing as in simhash.py, over 64-bit fingerprints of the sets that are compared (a
-shingle counts once, however often it is repeated), fetches the candidates within a wider distance; whether two are linked is decided by the Jaccard similarity of their whole sets
-of shingles.  With 5 segments and balls of radius 1, texts that differ in 9 bits or fewer always
-meet, in 10 in 99 %, in 11 in 96 % of cases; verification is exact.
-
-From a bucket comes a spanning forest of its candidates, not all pairs, so a group of copies gives a
-number of rows that is linear in its size.  Pairs whose sets differ too much in size are no
-candidates.  The forest takes the likest first, by a second word of 64 bits: one bit of each of 64
-minimum hashes of the five-word shingles, which differ in 32 (1 - similarity) bits on average.  This
-word orders candidates and rules none out.  Each text's few likest candidates come along, also where
-the forest has no use for them.  A link may still be hidden by candidates that fail but look more
-alike; a pair meets in several buckets of the five segments, each with a forest of its own.
-
-So fingerprints only save work: they join most of what is to be joined.  What they miss is found by
-prefix filtering, without loss.  The shingles are put in one order, common ones of a sample last.  Two sets
-of n and m shingles with a similarity of t share at least max(t n, t m), so the first they share
-lies within the first n - ceil(t n) + 1 of the one and likewise of the other.  All pairs of different
-components that share one of these are compared whole, unless their sizes and the places
-of the shingle leave too few to share.  Whatever the order, no link at or above t is lost.
+shingle counts once, however often it is repeated), fetches what lies within 3 bits; whether two are
+linked is decided by the Jaccard similarity of their whole sets of shingles, exactly.
+
+Fingerprints alone would miss links near the threshold, so they only save work.  The rest is found
+by prefix filtering, without loss.  The shingles are put in one order.  Two sets of n and m shingles
+with a similarity of t share at least max(t n, t m), so the first they share lies within the first
+n - ceil(t n) + 1 of the one and likewise of the other: their heads.  First in the order come those
+of a part of the hash space (a little more than heads need), by the number of texts that hold them,
+counted over all texts; then the others; last those that are common in a sample.  A text whose head
+is all its own has no link and is done with: so are nearly all that have no copy, however many
+passages they share with others.  Of the rest, first each text is compared with its neighbours in
+size, then with others by chance, which with the fingerprints' candidates joins most of what is to
+be joined, in a number of comparisons that is linear in the rows.  Then all pairs of different
+components that share a shingle of their heads are compared whole, unless they cannot have the
+similarity: by their sizes and the places of the shingle, or by bitmaps in which each shingle turns
+a bit over (where two bitmaps differ, the sets do, so they bound what is shared from above).
+Whatever the order, no link at or above t is lost.
+
+No bucket is held whole: large ones are cut into blocks, and each two blocks meet in a tile.
 """
 
 from __future__ import annotations
@@ -28,17 +29,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, spool
-from .simhash import components, probes
+from .common import discard, fresh, scratch, spool
+from .simhash import components, links, runs, tiled
 
 #: Words of a shingle; similarity; distance; segments.
-WORDS, SIMILARITY, RADIUS, SEGMENTS = 5, 0.8, 11, 5
+WORDS, SIMILARITY, RADIUS, SEGMENTS = 5, 0.8, 3, 2
 
-#: Likest candidates that each text of a bucket has besides the bucket's forest.
-ALSO = 2
-
-#: Elements of a block of distances, pairs held at once.
-BLOCK = 1 << 21
+#: Rows of a block of a large bucket; elements of a block of comparisons; part of the hash space
+#: whose shingles are counted.
+TILE, BLOCK, PART = 4096, 1 << 21, 0.3
+#: Bits of a bitmap of a set.
+BITS = 1024
 
 #: Texts of the sample for common shingles; counts there from which one is common; most that are kept.
 SAMPLE, COMMON, MOST = 16384, 3, 1 << 16
@@ -79,20 +80,7 @@ def set_fingerprint(shingles: np.ndarray) -> int:
     return int(np.packbits(2 * ones > len(shingles), bitorder="little").view(np.int64)[0])
 
 
-def sketch(shingles: np.ndarray) -> int:
-    """64 bits, as a signed number, from a set of shingles: bit k tells a hash of the first item at
-    or after k / 64 of the way round the 32-bit hashes, so that two sets have the same item there
-    with the probability of their similarity.  0 for an empty set."""
-    if not len(shingles):
-        return 0
-    ordered = np.sort(shingles.view(np.uint32)).astype(np.uint64)
-    place = np.searchsorted(ordered, np.arange(64, dtype=np.uint64) << np.uint64(26))
-    mixed = (ordered[place % len(ordered)] + np.arange(1, 65, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xBF58476D1CE4E5B9)
-    mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
-    return int(np.packbits((mixed >> np.uint64(63)).astype(np.uint8), bitorder="little").view(np.int64)[0])
-
-
-def common_shingles(docs: DataFrame, words: int, text: str) -> tuple[np.ndarray, np.ndarray]:
+def common_shingles(docs: DataFrame, rows: int, words: int, text: str) -> tuple[np.ndarray, np.ndarray]:
     """Shingles common in a sample of the texts, sorted as unsigned, and their counts there.  They
     only order the shingles of a head: which ones they are changes work, not results."""
 
@@ -102,7 +90,7 @@ def common_shingles(docs: DataFrame, words: int, text: str) -> tuple[np.ndarray,
             found, counts = np.unique(np.concatenate([np.zeros(0, np.int32), *sets]), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(counts)], names=["shingle", "n"])
 
-    share = max(1, docs.count() // SAMPLE)
+    share = max(1, rows // SAMPLE)
     some = docs.where(F.pmod(F.xxhash64(text), F.lit(share)) == 0).select(text).mapInArrow(run, "shingle int, n long")
     top = some.groupBy("shingle").agg(F.sum("n").alias("n")).where(F.col("n") >= COMMON).orderBy(F.desc("n"), "shingle").limit(MOST).collect()
     found, counts = np.array([r["shingle"] for r in top], np.int32).view(np.uint32), np.array([r["n"] for r in top], np.int64)
@@ -110,23 +98,27 @@ def common_shingles(docs: DataFrame, words: int, text: str) -> tuple[np.ndarray,
     return found[order], counts[order]
 
 
-def head(shingles: np.ndarray, least: float, common: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
-    """The first shingles of a set, rare before common, of which a set with a similarity of `least`
-    has at least one among its own first."""
-    n = len(shingles)
-    if not n:
-        return shingles
-    first = min(n, n - int(np.ceil(least * n - 1e-6)) + 1)
-    if common is None or not len(common[0]):
-        return shingles[:first]
-    own = shingles.view(np.uint32)
-    at = np.minimum(np.searchsorted(common[0], own), len(common[0]) - 1)
-    return shingles[np.argsort(np.where(common[0][at] == own, common[1][at], 0), kind="stable")[:first]]
+def head_size(n: int, least: float) -> int:
+    return min(n, n - int(np.ceil(least * n - 1e-6)) + 1)
+
+
+def ordered(shingles: np.ndarray, least: float, common: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles of a set that come first in the order, those that are counted; and where these
+    are too few for a head, as many as it lacks of the others, in order, common ones last."""
+    own = np.sort(shingles.view(np.uint32))
+    often = np.zeros(len(own), np.int64)
+    if common is not None and len(common[0]) and len(own):
+        at = np.minimum(np.searchsorted(common[0], own), len(common[0]) - 1)
+        often = np.where(common[0][at] == own, common[1][at], 0)
+    first = (often == 0) & (own < np.uint32(PART * 2**32))
+    more = own[~first][np.argsort(often[~first], kind="stable")]
+    counted = own[first]
+    return counted.view(np.int32), more[: max(0, head_size(len(own), least) - len(counted))].view(np.int32)
 
 
 def marked(docs: DataFrame, words: int, doc_id: str, text: str, least: float = SIMILARITY, common: tuple[np.ndarray, np.ndarray] | None = None) -> DataFrame:
-    """(doc_id, mark, fp, node, n, sketch, head) of every row; node is the same for texts of the same
-    words, n is the number of distinct shingles."""
+    """(doc_id, mark, fp, node, n, counted, more) of every row; node is the same for texts of the
+    same words, n is the number of distinct shingles."""
 
     def run(batches):
         import xxhash
@@ -136,145 +128,167 @@ def marked(docs: DataFrame, words: int, doc_id: str, text: str, least: float = S
             node = np.array([xxhash.xxh64_intdigest(b" ".join(word_list(t)), 7) for t in texts], np.uint64).view(np.int64)
             sets = [shingle_set(t, words) for t in texts]
             fp = pa.array([set_fingerprint(s) for s in sets], pa.int64())
-            sizes, sketches = pa.array([len(s) for s in sets], pa.int64()), pa.array([sketch(s) for s in sets], pa.int64())
-            heads = pa.array([head(s, least, common) for s in sets], pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), fp, pa.array(node), sizes, sketches, heads], names=["doc_id", "mark", "fp", "node", "n", "sketch", "head"])
+            lists = [pa.array(x, pa.list_(pa.int32())) for x in zip(*(ordered(s, least, common) for s in sets), strict=True)] or [pa.array([], pa.list_(pa.int32()))] * 2
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), fp, pa.array(node), pa.array([len(s) for s in sets], pa.int64()), *lists], names=["doc_id", "mark", "fp", "node", "n", "counted", "more"])
 
     kind = docs.schema[doc_id].dataType.simpleString()
     own = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("mark"), F.col(text).alias("text"))
-    return own.mapInArrow(run, f"doc_id {kind}, mark long, fp long, node long, n long, sketch long, head array<int>")
-
-
-def likest_forest(fps: np.ndarray, sizes: np.ndarray, sketches: np.ndarray, known: int, radius: int, least: float, also: int = 0) -> list[tuple[int, int]]:
-    """Places of the ends of a spanning forest, likest sketches first, of the pairs within radius
-    whose sizes allow a similarity of `least`, and after it of each one's `also` likest pairs; the
-    first `known` are table rows, the others look up and are not compared among themselves."""
-    f, g, n = fps.view(np.uint64), sketches.view(np.uint64), len(fps)
-
-    def allowed(x, y):
-        return np.minimum(x, y) / np.maximum(np.maximum(x, y), 1) >= least
-
-    some = np.zeros(n, bool)
-    step = max(1, BLOCK // n)
-    for at in range(0, known, step):
-        rows = np.arange(at, min(at + step, known))
-        near = np.bitwise_count(f[rows, None] ^ f[None, :]) <= radius
-        near[rows - at, rows] = False
-        i, j = np.nonzero(near)
-        fit = allowed(sizes[i + at], sizes[j])
-        some[i[fit] + at] = True
-        some[j[fit]] = True
-    place = np.flatnonzero(some)
-    f, g, sizes, table = f[place], g[place], sizes[place], place < known
-    left, best, parent = np.ones(len(f), bool), np.full(len(f), 65, np.int64), np.full(len(f), -1)
-    out, more = [], []
-    for seed in range(len(f)):
-        i = seed
-        while left[i]:
-            left[i] = False
-            fits = (np.bitwise_count(f ^ f[i]) <= radius) & (table | table[i]) & allowed(sizes, sizes[i])
-            fits[i] = False
-            d = np.where(fits, np.bitwise_count(g ^ g[i]), 65)
-            if also:
-                likest = np.argpartition(d, also - 1)[:also] if also < len(d) else np.arange(len(d))
-                more += [(int(place[i]), int(place[j])) for j in likest if d[j] < 65]
-            closer = left & (d < best)
-            best[closer], parent[closer] = d[closer], i
-            m = int(np.where(left, best, 65).argmin())
-            if not left[m] or best[m] > 64:
-                break
-            out.append((int(place[parent[m]]), int(place[m])))
-            i = m
-    return out + more
-
-
-def candidates(kinds: DataFrame, radius: int = RADIUS, segments: int = SEGMENTS, least: float = SIMILARITY) -> DataFrame:
-    """(a, b), a below b: nodes whose fingerprints meet in a bucket and lie within radius: of
-    each bucket a forest and each text's likest few."""
+    return own.mapInArrow(run, f"doc_id {kind}, mark long, fp long, node long, n long, counted array<int>, more array<int>")
+
+
+def candidates(kinds: DataFrame, rows: int | None = None, radius: int = RADIUS, segments: int = SEGMENTS) -> DataFrame:
+    """(a, b): nodes that connect all whose fingerprints lie within radius: those of one fingerprint
+    with the first of them, and the first ones of linked fingerprints."""
+    firsts = spool(kinds.groupBy("fp").agg(F.min("node").alias("first"), F.count("*").alias("m")), "fingerprints", rows)
+    same = kinds.join(firsts.where("m > 1"), "fp").where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    ends = links(firsts.select("fp"), radius, segments).distinct()
+    for side in "ab":
+        ends = ends.join(firsts.select(F.col("fp").alias(side), F.col("first").alias(f"n{side}")), side)
+    return same.union(ends.select("na", "nb"))
+
+
+def held_by_two(rows: DataFrame) -> DataFrame:
+    """rows (key, node, info) with df, the number of rows of the key, of keys that have two or more.
+    No key that is common in the sample comes here in numbers, so a key's rows fit a task."""
 
     def run(batches):
-        held = [np.zeros(0, np.int64) for _ in range(5)]
-        for batch in batches:
-            held = [np.concatenate((h, c.to_numpy(zero_copy_only=False))) for h, c in zip(held, batch.columns, strict=True)]
-            if len(held[0]) and held[0][0] != held[0][-1]:
-                cut = np.searchsorted(held[0], held[0][-1])  # the last bucket may go on
-                yield bucketed(*[h[:cut] for h in held])
-                held = [h[cut:] for h in held]
-        yield bucketed(*held)
-
-    def bucketed(keys, fps, nodes, sketches, info):
-        found = []
-        sizes, probe = info >> 1, (info & 1).astype(bool)
-        if len(keys):
+        for keys, nodes, infos in runs(batches, 1):
             starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
-            ends = np.append(starts[1:], len(keys))
-            known = np.add.reduceat(~probe, starts, dtype=np.int64)
-            for at in np.flatnonzero((ends - starts > 1) & (known > 0)):
-                own = np.arange(starts[at], ends[at])
-                own = own[np.argsort(probe[own], kind="stable")]
-                names = nodes[own]
-                found += [(names[i], names[j]) for i, j in likest_forest(fps[own], sizes[own], sketches[own], int(known[at]), radius, least, ALSO)]
-        pairs = np.unique(np.sort(np.array(found, np.int64).reshape(-1, 2), axis=1), axis=0)
-        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
-
-    # balls of radius 1 in each segment; info holds the size and, as its lowest bit, who looks up
-    table = probes(kinds.select("fp", "node", "sketch", "n"), segments, segments, "node", "sketch", "n")
-    parts = int(kinds.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = table.select("key", "fp", "node", "sketch", (F.col("n") * 2 + F.col("probe").cast("long")).alias("info"))
-    rows = rows.repartition(parts, "key").sortWithinPartitions("key", "node")  # ties alike in every run
-    return rows.mapInArrow(run, "a long, b long").where("a <> b").distinct()
-
-
-def across(kinds: DataFrame, roots: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """(a, b), a below b: all pairs of different components (node, root; nodes that are not there are
-    alone) that may have the similarity: none that has it is left out."""
+            count = np.diff(np.append(starts, len(keys)))
+            df = np.repeat(count, count)
+            some = df > 1
+            yield pa.RecordBatch.from_arrays([pa.array(x[some]) for x in (keys, nodes, infos, df.astype(np.int64))], names=["key", "node", "info", "df"])
+
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(run, "key int, node long, info int, df long")
+
+
+def meeting(kinds: DataFrame, least: float = SIMILARITY) -> DataFrame:
+    """(key, node, info): the shingles of heads that stand in two texts or more; info holds the size
+    of the set (from bit 32) and the place of the shingle in the order of that set."""
+    n, size = F.col("n"), F.size("counted")
+    length = F.least(n, n - F.ceil(F.lit(least) * n - F.lit(1e-6)) + 1)
+    common = held_by_two(kinds.select(F.explode("counted").alias("key"), "node", F.lit(0).alias("info")))
+    common = common.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("df", "key"))).alias("own"))
+    alone = size - F.size("own")  # shingles of this text only: they come first
+    heads = kinds.join(common, "node").select("node", n, length.alias("length"), alone.alias("alone"), "own").where("alone < length")
+    heads = heads.select("node", "n", "alone", F.posexplode(F.slice("own", 1, (F.col("length") - F.col("alone")).cast("int"))).alias("at", "x"))
+    first = heads.select(F.col("x.key").alias("key"), "node", (F.shiftleft("n", 32) + F.col("alone") + F.col("at")).alias("info"))
+    more = kinds.where(F.size("more") > 0).select("node", F.posexplode("more").alias("at", "key")).select("key", "node", F.col("at").alias("info"))
+    # common shingles are many texts': their buckets are cut into tiles, not counted
+    last = more.join(kinds.select("node", "n", size.alias("before")), "node").select("key", "node", (F.shiftleft("n", 32) + F.col("before") + F.col("info")).alias("info"))
+    return first.union(last)
+
+
+def fitting(a: np.ndarray, b: np.ndarray, least: float) -> np.ndarray:
+    """Whether sets may have the similarity, by sizes and by the places of a shingle that they share
+    (info): all that they share at or after the first such lies at or after these places."""
+    n, m = a >> 32, b >> 32
+    need = np.ceil((n + m) * (least / (1 + least)) - 1e-6)
+    return (np.minimum(n, m) >= least * np.maximum(n, m) - 1e-6) & (np.minimum(n - (a & 0xFFFFFFFF), m - (b & 0xFFFFFFFF)) >= need)
+
 
+def pairs_of(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    pairs = np.unique(np.sort(np.stack((a, b), axis=1), axis=1), axis=0)
+    return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
+
+def bitmap(shingles: np.ndarray) -> bytes:
+    """BITS bits, of which each shingle turns one over."""
+    at = (shingles.view(np.uint32) * np.uint32(0x9E3779B1)) >> np.uint32(32 - BITS.bit_length() + 1)
+    return np.packbits(np.bincount(at, minlength=BITS).astype(np.uint8) & 1).tobytes()
+
+
+def alike(a: np.ndarray, b: np.ndarray, x: np.ndarray, y: np.ndarray, least: float) -> np.ndarray:
+    """Whether sets of sizes a and b, with bitmaps x and y, may have the similarity."""
+    need = np.ceil((a + b) * (least / (1 + least)) - 1e-6)
+    return np.bitwise_count(x ^ y).sum(1, dtype=np.int64) <= a + b - 2 * need
+
+
+def words_of(bits: np.ndarray) -> np.ndarray:
+    return np.frombuffer(b"".join(bits.tolist()), np.uint64).reshape(len(bits), -1)
+
+
+def neighbours(met: DataFrame, least: float = SIMILARITY) -> DataFrame:
+    """(a, b), a below b: of each bucket the nodes that are next to each other by size, and each
+    with the first; only those that may have the similarity."""
+    rows = met.select("key", F.col("node").alias("root"), "node", "info", F.lit(b"").alias("bits"))
+    return adjacent(rows, F.shiftright("info", 32), least)
+
+
+def others(apart: DataFrame, least: float = SIMILARITY) -> DataFrame:
+    """(a, b), a below b: the same of nodes in an order by chance, of different components."""
+    return adjacent(apart, F.xxhash64("node", "key"), least)
+
+
+def adjacent(rows: DataFrame, order, least: float) -> DataFrame:
     def run(batches):
-        held = [np.zeros(0, np.int64) for _ in range(4)]
+        before = None  # the row before and the first of its bucket: key, root, node, info, bits, and again
         for batch in batches:
-            held = [np.concatenate((h, c.to_numpy(zero_copy_only=False))) for h, c in zip(held, batch.columns, strict=True)]
-            if len(held[0]) and held[0][0] != held[0][-1]:
-                cut = np.searchsorted(held[0], held[0][-1])  # the last bucket may go on
-                yield from bucketed(*[h[:cut] for h in held])
-                held = [h[cut:] for h in held]
-        yield from bucketed(*held)
-
-    def ends(new):
-        """For each row the end of its run; new tells the first rows of the runs but the first."""
-        last = np.append(np.flatnonzero(new) + 1, len(new) + 1)
-        return np.repeat(last, np.diff(last, prepend=0))
-
-    def bucketed(keys, roots, nodes, info):
-        if not len(keys):
-            return
-        sizes, places = info >> 32, info & 0xFFFFFFFF
-        other = keys[1:] != keys[:-1]
-        partner, stop = ends(other | (roots[1:] != roots[:-1])), ends(other)  # sorted by root: the own component is passed over
-        at, found, many = np.arange(len(keys)), [], 0
-        while True:
-            going = partner < stop
-            at, partner, stop = at[going], partner[going], stop[going]
-            if not len(at):
-                break
-            a, b = sizes[at], sizes[partner]
-            need = np.ceil((a + b) * (least / (1 + least)) - 1e-6)  # shared at the similarity; all lie at or after the first
-            fits = (np.minimum(a, b) >= least * np.maximum(a, b) - 1e-6) & (np.minimum(a - places[at], b - places[partner]) >= need)
-            found.append(np.sort(np.stack((nodes[at[fits]], nodes[partner[fits]]), axis=1), axis=1))
-            many += len(found[-1])
-            if many >= BLOCK:
-                yield packed(found)
-                found, many = [], 0
-            partner = partner + 1
-        yield packed(found)
-
-    def packed(found):
-        pairs = np.unique(np.concatenate([np.zeros((0, 2), np.int64), *found]), axis=0)
-        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
-
-    parts = int(kinds.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = kinds.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "n", F.posexplode("head").alias("place", "key"))
-    rows = rows.select(F.col("key").cast("long").alias("key"), "root", "node", (F.shiftleft("n", 32) + F.col("place")).alias("info"))
-    rows = rows.repartition(parts, "key").sortWithinPartitions("key", "root", "node")
+            keys, roots, nodes, infos, bits = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            if not len(keys):
+                continue
+            if before is None:
+                before = (keys[0], roots[0], nodes[0], infos[0], bits[0], roots[0], nodes[0], infos[0], bits[0])
+            keys, roots, nodes, infos, bits = (np.concatenate((np.array([x], y.dtype), y)) for x, y in zip(before[:5], (keys, roots, nodes, infos, bits), strict=True))
+            new = np.concatenate(([False], keys[1:] != keys[:-1]))
+            start = np.maximum.accumulate(np.where(new, np.arange(len(keys)), 0))
+            lead = [x[start] for x in (roots, nodes, infos, bits)]
+            for x, old in zip(lead, before[5:], strict=True):
+                x[start == 0] = old
+            at, words = np.flatnonzero(~new)[1:], words_of(bits)
+            far, near = words_of(lead[3]), at[(roots[at] != roots[at - 1]) & fitting(infos[at], infos[at - 1], least)]
+            near = near[alike(infos[near] >> 32, infos[near - 1] >> 32, words[near], words[near - 1], least)]
+            at = at[(roots[at] != lead[0][at]) & fitting(infos[at], lead[2][at], least)]
+            at = at[alike(infos[at] >> 32, lead[2][at] >> 32, words[at], far[at], least)]
+            yield pairs_of(np.concatenate((nodes[near], nodes[at])), np.concatenate((nodes[near - 1], lead[1][at])))
+            before = (keys[-1], roots[-1], nodes[-1], infos[-1], bits[-1], *(x[-1] for x in lead))
+
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = tiled(rows, "key", "node", TILE).where("block = t1 and t1 = t2")  # a block of a large bucket by itself
+    rows = rows.repartition(parts, "key", "block").sortWithinPartitions("key", "block", order, "node")
+    return rows.select("key", "root", "node", "info", "bits").mapInArrow(run, "a long, b long").distinct()
+
+
+def apart(met: DataFrame, roots: DataFrame, bits: DataFrame) -> DataFrame:
+    """(key, root, node, info, bits) of the buckets that hold nodes of different components (node,
+    root; nodes that are not there are alone)."""
+    rows = met.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    some = rows.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
+    return rows.join(some, "key", "left_semi").join(bits.select("node", "bits"), "node").select("key", "root", "node", "info", "bits")
+
+
+def across(rows: DataFrame, least: float = SIMILARITY, tile: int | None = None) -> DataFrame:
+    """(a, b), a below b: all pairs of different components in a bucket of rows (key, root, node,
+    info, bits) that may have the similarity: none that has it is left out."""
+
+    def run(batches):
+        for keys, t1, t2, blocks, roots, nodes, infos, bits in runs(batches, 3):
+            found: list[list[np.ndarray]] = [[], []]
+            words = words_of(bits)
+            starts = np.flatnonzero(np.concatenate(([True], (keys[1:] != keys[:-1]) | (t1[1:] != t1[:-1]) | (t2[1:] != t2[:-1]))))
+            for at, end in zip(starts, np.append(starts[1:], len(keys)), strict=True):
+                a = np.flatnonzero(blocks[at:end] == t1[at]) + at
+                b = np.flatnonzero(blocks[at:end] == t2[at]) + at
+                step = max(1, BLOCK // max(1, 16 * len(b)))
+                for i in range(0, len(a), step):
+                    own = a[i : i + step]
+                    x, y = np.nonzero((roots[own, None] < roots[None, b]) & fitting(infos[own, None], infos[None, b], least))
+                    if t1[at] != t2[at]:
+                        u, v = np.nonzero((roots[own, None] > roots[None, b]) & fitting(infos[own, None], infos[None, b], least))
+                        x, y = np.concatenate((x, u)), np.concatenate((y, v))
+                    x, y = own[x], b[y]
+                    some = alike(infos[x] >> 32, infos[y] >> 32, words[x], words[y], least)
+                    found[0].append(nodes[x[some]])
+                    found[1].append(nodes[y[some]])
+                    if sum(map(len, found[0])) >= BLOCK:
+                        yield pairs_of(*map(np.concatenate, found))
+                        found = [[], []]
+            yield pairs_of(*(np.concatenate([np.zeros(0, np.int64), *x]) for x in found))
+
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = tiled(rows, "key", "node", tile or TILE).select("key", "t1", "t2", "block", "root", "node", "info", "bits")
+    rows = rows.repartition(parts, "key", "t1", "t2").sortWithinPartitions("key", "t1", "t2")
     return rows.mapInArrow(run, "a long, b long").distinct()
 
 
@@ -293,16 +307,16 @@ def verified(edges: DataFrame, sets: DataFrame, least: float = SIMILARITY) -> Da
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, words: int, doc_id: str, text: str) -> DataFrame:
-    """(node, shingles) of the rows wanted (k_id, k_mark, node)."""
+    """(node, shingles, bits) of the rows wanted (k_id, k_mark, node)."""
 
     def run(batches):
         for batch in batches:
             found = [shingle_set(t, words) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int32()))], names=["node", "shingles"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int32())), pa.array([bitmap(x) for x in found], pa.binary())], names=["node", "shingles", "bits"])
 
     own = docs.select(F.col(doc_id).alias("d_id"), F.xxhash64(text).alias("d_mark"), F.col(text).alias("d_text"))
     own = own.join(wanted, own["d_id"].eqNullSafe(wanted["k_id"]) & (own["d_mark"] == wanted["k_mark"]))
-    return own.select("node", "d_text").mapInArrow(run, "node long, shingles array<int>").dropDuplicates(["node"])
+    return own.select("node", "d_text").mapInArrow(run, "node long, shingles array<int>, bits binary").dropDuplicates(["node"])
 
 
 def classes(docs: DataFrame, words: int = WORDS, least: float = SIMILARITY, radius: int = RADIUS, segments: int = SEGMENTS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -310,32 +324,43 @@ def classes(docs: DataFrame, words: int = WORDS, least: float = SIMILARITY, radi
 
     A null text counts as empty; texts without words are one class, texts of the same words (case
     of A-Z and white space apart) too.  Repeated rows are in one class.  An empty table gives none."""
-    own = spool(marked(docs, words, doc_id, text, least, common_shingles(docs, words, text)), "marked")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark"))
-    kinds = spool(own.groupBy("fp", "node", "n", "sketch").agg(first.alias("lead"), F.first("head").alias("head")), "kinds")
-
-    def compared(edges):
-        ends = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
-        wanted = spool(kinds.join(ends, "node").select(F.col("lead.doc_id").alias("k_id"), F.col("lead.mark").alias("k_mark"), "node"), "wanted")
-        return spool(verified(edges, spool(sets_of(docs, wanted, words, doc_id, text), "sets"), least), "links")
-
-    edges = spool(candidates(kinds, radius, segments, least), "candidates")
-    roots = spool(components(compared(edges)), "roots")
-    more = spool(across(kinds, roots, least).join(edges, ["a", "b"], "left_anti"), "across")
-    nodes = components(compared(more).union(roots.select("node", "root")))
-    linked = spool(kinds.select("node", "lead").join(nodes, "node"), "linked")
-    leads = linked.join(linked.groupBy("root").agg(F.min("lead").alias("first")), "root").select("node", "first")
-    alone = own.join(kinds.select("node", "lead"), "node")
-    return alone.join(leads, "node", "left").select("doc_id", "mark", F.coalesce("first", "lead").alias("lead"))
+    with scratch() as keep:
+        rows = docs.count()  # bounds what is spooled, in rows as wide as a few numbers
+        every = spool(marked(docs, words, doc_id, text, least, common_shingles(docs, rows, words, text)), "marked", 128 * rows)
+        first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark"))
+        kinds = spool(every.groupBy("node").agg(F.first("fp").alias("fp"), F.first("n").alias("n"), first.alias("lead"), F.first("counted").alias("counted"), F.first("more").alias("more")), "kinds", 16 * rows)
+        own = keep(spool(every.select("doc_id", "mark", "node").join(kinds.select("node", "lead"), "node"), "own", rows))
+        discard(every)
+        met = spool(meeting(kinds, least), "meeting", 8 * rows)
+        known = spool(both_ways(candidates(kinds, rows, radius, segments)), "candidates", rows)
+        wanted = met.select("node").union(known.select("a")).union(known.select("b")).distinct()
+        wanted = spool(kinds.join(wanted, "node").select(F.col("lead.doc_id").alias("k_id"), F.col("lead.mark").alias("k_mark"), "node"), "wanted", rows)
+        sets = spool(sets_of(docs, wanted, words, doc_id, text), "sets", 64 * rows)
+        roots, seen = None, None
+        for found in (lambda: known.union(neighbours(met, least)), lambda: others(apart(met, roots, sets), least), lambda: across(apart(met, roots, sets), least)):
+            edges = found().distinct()
+            edges = spool(edges if seen is None else edges.join(seen, ["a", "b"], "left_anti"), "edges", 4 * rows)
+            linked = spool(verified(edges, sets, least), "links", 4 * rows)
+            seen = edges if seen is None else seen.union(edges)
+            roots = spool(components(linked if roots is None else linked.union(roots.where("node <> root"))), "roots", rows)
+        linked = kinds.select("node", "lead").join(roots, "node")
+        leads = keep(spool(linked.join(linked.groupBy("root").agg(F.min("lead").alias("first")), "root").select("node", "first"), "leads", rows))
+    return own.join(leads, "node", "left").select("doc_id", "mark", F.coalesce("first", "lead").alias("lead"))
+
+
+def both_ways(edges: DataFrame) -> DataFrame:
+    """(a, b), a below b, once each."""
+    return edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def near_deduplicated(docs: DataFrame, words: int = WORDS, least: float = SIMILARITY, radius: int = RADIUS, segments: int = SEGMENTS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of docs that stay: of each class that with the smallest id, null ids last.
 
     Rows alike in id and text stay or go together; exact deduplication leaves no such rows."""
-    found = classes(docs, words, least, radius, segments, doc_id, text)
-    same = F.col("doc_id").eqNullSafe(F.col("lead.doc_id")) & (F.col("mark") == F.col("lead.mark"))
-    gone = spool(found.where(~same).select("doc_id", "mark").distinct(), "gone")
+    with scratch() as keep:
+        found = classes(docs, words, least, radius, segments, doc_id, text)
+        same = F.col("doc_id").eqNullSafe(F.col("lead.doc_id")) & (F.col("mark") == F.col("lead.mark"))
+        gone = keep(spool(found.where(~same).select("doc_id", "mark").distinct(), "gone", docs.count()))
     (mark,) = fresh(docs, "mark")
     gone = gone.toDF("gone_id", "gone_mark")
     own = docs.withColumn(mark, F.xxhash64(docs[text]))

@@ -6,7 +6,8 @@ fingerprint is put into a table under the value of each segment, and looks itsel
 values in a small Hamming ball around it.  Of two values in one ball only that looks the other up
 which has 0 at the lowest bit in which they differ, so each pair is met once.  What meets in a
 bucket is verified on all 64 bits; from each bucket comes a spanning forest of its links, not all
-pairs.  Components are found by rounds of stars over the links.
+pairs.  A bucket of very many fingerprints is cut into blocks, and each two blocks meet in a tile of
+their own.  Components are found by rounds of stars over the links.
 """
 
 from __future__ import annotations
@@ -18,10 +19,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import spool
+from .common import discard, scratch, spool
 
-#: Shingles hashed at once.
-BLOCK = 1 << 16
+#: Shingles hashed at once; rows of a block of a large bucket; nodes that a task contracts at once.
+BLOCK, TILE, HELD = 1 << 16, 4096, 1 << 18
 
 
 def fingerprint(text: str | None, words: int = 3) -> int:
@@ -100,36 +101,64 @@ def forest(table: np.ndarray, looking: np.ndarray, radius: int) -> list[tuple[in
     return [(signed[a], signed[b]) for a, b in out if signed[a] != signed[b]]
 
 
-def links(fps: DataFrame, radius: int = 3, segments: int = 2) -> DataFrame:
+def tiled(rows: DataFrame, key: str, of: str, tile: int) -> DataFrame:
+    """rows with t1, t2 and block: a key with more than `tile` rows is cut into blocks by a hash of
+    `of`, and each row goes to a tile with each block; the others have one tile."""
+    sizes = rows.groupBy(key).agg(F.count("*").alias("m")).where(F.col("m") > tile)
+    parts = F.coalesce(F.ceil(F.col("m") / tile), F.lit(1)).cast("int")
+    out = rows.join(sizes, key, "left").withColumn("block", F.pmod(F.xxhash64(of), parts).cast("int"))
+    out = out.withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
+    return out.withColumn("t1", F.least("block", "other")).withColumn("t2", F.greatest("block", "other")).drop("m", "other")
+
+
+def runs(batches, keys: int):
+    """The rows of each run of rows alike in their first `keys` columns, as arrays; several runs at
+    once where a batch holds them, and of rows held only the run that may go on."""
+    held: list[list[np.ndarray]] = []
+    for batch in batches:
+        columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+        if not len(columns[0]):
+            continue
+        changed = np.flatnonzero(np.any([c[1:] != c[:-1] for c in columns[:keys]], axis=0)) + 1
+        if held and any(held[-1][i][-1] != columns[i][0] for i in range(keys)):
+            yield [np.concatenate(c) for c in zip(*held, strict=True)]
+            held = []
+        if len(changed):
+            cut = changed[-1]
+            yield [np.concatenate(c) for c in zip(*held, [c[:cut] for c in columns], strict=True)]
+            held, columns = [], [c[cut:] for c in columns]
+        held.append(columns)
+    if held:
+        yield [np.concatenate(c) for c in zip(*held, strict=True)]
+
+
+def links(fps: DataFrame, radius: int = 3, segments: int = 2, tile: int | None = None) -> DataFrame:
     """(a, b): for distinct fingerprints fp, links that connect all that are linked within radius."""
+    tile = tile or TILE
 
     def run(batches):
-        keys, fps, probe = (np.zeros(0, t) for t in (np.int64, np.int64, bool))
-        for batch in batches:
-            keys = np.concatenate((keys, batch.column(0).to_numpy(zero_copy_only=False)))
-            fps = np.concatenate((fps, batch.column(1).to_numpy(zero_copy_only=False)))
-            probe = np.concatenate((probe, batch.column(2).to_numpy(zero_copy_only=False)))
-            if len(keys) and keys[0] != keys[-1]:
-                cut = np.searchsorted(keys, keys[-1])  # the last bucket may go on
-                yield bucketed(keys[:cut], fps[:cut], probe[:cut])
-                keys, fps, probe = keys[cut:], fps[cut:], probe[cut:]
-        yield bucketed(keys, fps, probe)
-
-    def bucketed(keys, fps, probe):
-        found: list[tuple[int, int]] = []
-        if len(keys):
-            starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+        for keys, t1, t2, fps, probe in runs(batches, 3):
+            found: list[tuple[int, int]] = []
+            starts = np.flatnonzero(np.concatenate(([True], (keys[1:] != keys[:-1]) | (t1[1:] != t1[:-1]) | (t2[1:] != t2[:-1]))))
             ends = np.append(starts[1:], len(keys))
             known = np.add.reduceat(~probe, starts, dtype=np.int64)
-            for a, b in zip(starts[(ends - starts > 1) & (known > 0)], ends[(ends - starts > 1) & (known > 0)], strict=True):
+            some = (ends - starts > 1) & (known > 0)
+            for a, b in zip(starts[some], ends[some], strict=True):
                 own, looking = fps[a:b], probe[a:b]
                 found += forest(own[~looking], own[looking], radius)
-        flat = np.array(found, np.int64).reshape(-1, 2)
-        return pa.RecordBatch.from_arrays([pa.array(flat[:, 0]), pa.array(flat[:, 1])], names=["a", "b"])
+            flat = np.array(found, np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(flat[:, 0]), pa.array(flat[:, 1])], names=["a", "b"])
 
     rows = probes(fps, radius, segments)
+    values = [F.shiftrightunsigned("fp", low).bitwiseAND(F.lit((1 << width) - 1)).bitwiseOR(F.lit(i << 33)) for i, (low, width) in enumerate(segment_bounds(segments))]
+    most = fps.select(F.explode(F.array(*values)).alias("v")).groupBy("v").count().agg(F.max("count")).first()[0]
+    if (most or 0) > tile:  # a bucket holds the fingerprints of a few such values
+        rows = tiled(rows, "key", "fp", tile)
+    else:
+        rows = rows.withColumn("t1", F.lit(0)).withColumn("t2", F.lit(0))
     parts = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(run, "a long, b long")
+    rows = rows.select("key", "t1", "t2", "fp", "probe").repartition(parts, "key", "t1", "t2").sortWithinPartitions("key", "t1", "t2", "fp")
+    return rows.mapInArrow(run, "a long, b long")
 
 
 def contracted(edges: DataFrame) -> DataFrame:
@@ -143,15 +172,19 @@ def contracted(edges: DataFrame) -> DataFrame:
                 parent[x] = x = parent[p]
             return x
 
+        def stars():
+            flat = np.array([(x, r) for x in list(parent) if (r := root(x)) != x], np.int64).reshape(-1, 2)
+            return pa.RecordBatch.from_arrays([pa.array(flat[:, 0]), pa.array(flat[:, 1])], names=["a", "b"])
+
         for batch in batches:
             for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 a, b = root(a), root(b)
                 if a != b:
                     parent[max(a, b)] = min(a, b)
-        stars = [(x, root(x)) for x in list(parent)]
-        flat = np.array([s for s in stars if s[0] != s[1]], np.int64).reshape(-1, 2)
-        for at in range(0, max(1, len(flat)), 100_000):
-            yield pa.RecordBatch.from_arrays([pa.array(flat[at : at + 100_000, 0]), pa.array(flat[at : at + 100_000, 1])], names=["a", "b"])
+            if len(parent) > HELD:
+                yield stars()
+                parent.clear()
+        yield stars()
 
     return edges.mapInArrow(run, "a long, b long")
 
@@ -177,7 +210,8 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         least = large.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), "m")
         small = large.join(least, large["a"] == least["u"]).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         small = small.union(least.select(F.col("u").alias("a"), F.col("m").alias("b"))).distinct()
-        then = spool(small, name)
+        then = spool(small, name, 2 * state[0])
+        discard(now)
         now, before, state = then, state, checksum(then)
         if state == before:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
@@ -189,13 +223,14 @@ def grouped(docs: DataFrame, words: int = 3, radius: int = 3, segments: int = 2,
 
     A null text counts as empty; texts without words have fingerprint 0 and are linked like any
     other.  Repeated rows are in one component.  An empty table gives none."""
-    own = spool(fingerprints(docs, words, doc_id, text), "fingerprints")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark"))
-    kinds = spool(own.groupBy("fp").agg(first.alias("lead")), "kinds")
-    nodes = components(links(kinds.select("fp"), radius, segments))
-    rooted = kinds.join(nodes, kinds["fp"] == nodes["node"], "left").select("fp", "lead", F.coalesce("root", "fp").alias("root"))
-    firsts = rooted.groupBy("root").agg(F.min("lead").alias("lead"))
-    of = spool(rooted.select("fp", "root").join(firsts, "root"), "groups")
+    with scratch() as keep:
+        own = keep(spool(fingerprints(docs, words, doc_id, text), "fingerprints"))
+        first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark"))
+        kinds = spool(own.groupBy("fp").agg(first.alias("lead")), "kinds")
+        nodes = components(links(kinds.select("fp"), radius, segments))
+        rooted = kinds.join(nodes, kinds["fp"] == nodes["node"], "left").select("fp", "lead", F.coalesce("root", "fp").alias("root"))
+        firsts = rooted.groupBy("root").agg(F.min("lead").alias("lead"))
+        of = keep(spool(rooted.select("fp", "root").join(firsts, "root"), "groups", kinds.count()))
     return own.join(of, "fp")
 
 
