@@ -58,6 +58,38 @@ def test_language_counts_do_not_depend_on_chunks(monkeypatch):
     assert dict(zip(*(x.tolist() for x in langid.counted(text)), strict=True)) == whole
 
 
+def brute_profile(text, most):
+    """Out-of-place ranks by hand: counts of n-grams as strings, ties by their keys."""
+    import re
+
+    padded = "_" + re.sub(r"[\W\d_]+", "_", text.lower()).strip("_") + "_"
+    counts = collections.Counter()
+    for n in range(1, 6):
+        for i in range(len(padded) - n + 1):
+            gram = padded[i : i + n]
+            if "_" not in gram[1:-1] and gram.strip("_"):
+                key = 0
+                for c in gram:
+                    key = (key * 0x9E3779B97F4A7C15 + ord(c) + 1) % 2**64
+                    key ^= key >> 29
+                counts[key] += 1
+    return sorted(counts, key=lambda k: (-counts[k], k))[:most]
+
+
+def test_language_equals_brute_force_with_ties():
+    rnd = random.Random(3)
+    texts = {x: " ".join("".join(rnd.choices(x, k=rnd.randint(1, 6))) for _ in range(60)) for x in ("abcde", "cdefg", "efghi")}
+    lists = {name: brute_profile(text, 50) for name, text in texts.items()} | {"again": brute_profile(texts["abcde"], 50)}
+    profiles = langid.Profiles({name: [k - 2**64 if k >> 63 else k for k in own] for name, own in lists.items()}, 50)
+    for _ in range(80):
+        text = " ".join("".join(rnd.choices("abcdefghi1 -", k=5)) for _ in range(rnd.randint(1, 30)))
+        mine = brute_profile(text, 50)
+        far = {name: sum(min(50, abs(own.index(k) - r)) if k in own else 50 for r, k in enumerate(mine)) for name, own in lists.items()}
+        best = min(sorted(far), key=far.get)
+        assert profiles.predict(text) == (best, pytest.approx(1 - far[best] / (50 * len(mine))))
+    assert profiles.predict(texts["abcde"]) == ("abcde", 1.0)  # as near as "again", which comes after
+
+
 def brute_products(rows, k=10, every=100):
     v = {i: [int(np.floor(1024 * float(x))) for x in e] for i, e in rows if e is not None and i is not None and all(x is not None and np.isfinite(x) for x in e)}
     out = []
@@ -356,6 +388,39 @@ def test_archives(spark):
     assert warc.read(warc.write(pages.limit(0))).count() == 0
 
 
+def test_archives_that_are_cut_or_plain(tmp_path):
+    import io
+
+    raw = [warc.record({"WARC-Type": "response", "WARC-Record-ID": f"<{i}>"}, b"x" * (50 + i)) for i in range(3)]
+    whole = b"".join(map(warc.zipped, raw))
+    assert [len(b) for _, b in warc.records(io.BytesIO(whole), 7)] == [50, 51, 52] == [len(b) for _, b in warc.records(io.BytesIO(b"".join(raw)), 7)]
+    assert list(warc.records(io.BytesIO(b""))) == []
+    ends = [len(warc.zipped(raw[0])), len(warc.zipped(raw[0])) + len(warc.zipped(raw[1]))]
+    for cut in range(1, len(whole)):
+        if cut not in ends:
+            with pytest.raises(ValueError):
+                list(warc.records(io.BytesIO(whole[:cut]), 11))
+
+
+def test_a_lost_first_segment_is_told(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    pages = spark.createDataFrame([(1, "u", "a" * 5000), (2, "v", "b" * 50)], "page_id long, url string, html string")
+    manifest = warc.write(pages.coalesce(1), segment=1 << 10)
+    path = manifest.first()["path"].removeprefix("file://")
+    with open(path, "rb") as f:
+        found = list(warc.records(f))
+    kept = [warc.zipped(warc.record({k.title(): v for k, v in f.items() if k != "content-length"}, b)) for f, b in found if f.get("warc-segment-number") != "1"]
+    (tmp_path / "cut.warc.gz").write_bytes(b"".join(kept))
+    got = warc.read(manifest.limit(1).select(F.lit(f"file://{tmp_path}/cut.warc.gz").alias("path"), "records")).orderBy("page_id").collect()
+    assert [(r["page_id"], r["complete"]) for r in got] == [(None, False), (2, True)]
+
+
+def test_exact_dedup_of_string_ids(spark):
+    rows = spark.createDataFrame([("", "a b"), ("z", "ab"), ("b", "a b"), (None, "a b"), (None, None)], "doc_id string, text string")
+    assert {(r["doc_id"], r["keep_id"]) for r in exact.classes(rows).collect()} == {("", ""), ("z", ""), ("b", ""), (None, ""), (None, None)}
+
+
 def test_segments_that_are_lost_or_of_wrong_length():
     block = b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\n" + warc.chunked(b"payload", 3)
     head = {"warc-type": "response", "warc-page-id": "1", "warc-payload-digest": "sha256:" + hashlib.sha256(b"payload").hexdigest()}
@@ -454,6 +519,8 @@ def test_sharding(spark, edge, none):
     assert sum(a != b for a, b in zip(table, fewer, strict=True) if a != 6) < 25
     got = sharding.placed(edge).collect()
     assert len(got) == 12 and len({r["shard"] for r in got if r["doc_id"] == 5}) == 1 and sharding.placed(none).count() == 0
+    clash = sharding.placed(edge.select("doc_id", "shard"), key="shard")
+    assert clash.columns[0] == "shard" and len(set(clash.columns)) == 3 and clash.count() == 12
     with pytest.raises(ValueError):
         sharding.lookup_table(names, 100)
 

@@ -25,7 +25,6 @@ from .common import fresh, spool
 SPACE = b"\x20\x09\x0a\x0b\x0c\x0d"
 #: Bytes of text and rows that the trie of a task holds before it spills.
 BUDGET = 96 << 20
-_HEX = "0123456789abcdef"
 
 
 def normal(text: str | None) -> bytes:
@@ -34,7 +33,7 @@ def normal(text: str | None) -> bytes:
 
 def standing(text: str | None, doc_id) -> tuple:
     """Sorts what stays first: most code points, then the smallest id, null ids last."""
-    return (-len(text or ""), doc_id is None, doc_id or 0)
+    return (-len(text or ""), doc_id is None, 0 if doc_id is None else doc_id)
 
 
 class _Node:

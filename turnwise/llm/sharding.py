@@ -13,6 +13,8 @@ import hashlib
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import fresh
+
 #: Shards and slots of the query; slots are prime and many for each shard.
 SHARDS, SLOTS = 24, 2039
 
@@ -51,9 +53,10 @@ def placed(docs: DataFrame, shards: int = SHARDS, slots: int = SLOTS, key: str =
     parameter, not the data's, so it is safe to broadcast; no row is shuffled."""
     spark = docs.sparkSession
     names = [f"shard-{i:05d}" for i in range(shards)]
-    table = spark.createDataFrame(list(enumerate(lookup_table(names, slots))), "slot long, shard int")
+    slot, shard = fresh(docs.select(key), "slot", "shard")
+    table = spark.createDataFrame(list(enumerate(lookup_table(names, slots))), f"`{slot}` long, `{shard}` int")
     hashed = F.conv(F.substring(F.md5(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")), 1, 12), 16, 10).cast("long")
-    return docs.select(key, F.pmod(hashed, F.lit(slots)).alias("slot")).join(F.broadcast(table), "slot").select(key, "slot", "shard")
+    return docs.select(key, F.pmod(hashed, F.lit(slots)).alias(slot)).join(F.broadcast(table), slot).select(key, slot, shard)
 
 
 def sql(shards: int = SHARDS, slots: int = SLOTS) -> str:

@@ -82,9 +82,11 @@ def page_records(page_id, url, digest: str, first, payload: bytes, own: str, seg
 
 
 def records(file, size: int = 1 << 20) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(fields, block) of each record of a gzipped archive, read as a stream."""
-    held, zip_, ended = bytearray(), zlib.decompressobj(31), False
-    left = b""
+    """(fields, block) of each record of an archive, gzipped or not, read as a stream; one that ends
+    inside a record or a gzip member raises."""
+    held, zip_, ended, begun = bytearray(), zlib.decompressobj(31), False, False
+    left = file.read(size)
+    packed = left[:2] == b"\x1f\x8b"
     while True:
         end = held.find(b"\r\n\r\n")
         if end >= 0:
@@ -98,15 +100,20 @@ def records(file, size: int = 1 << 20) -> Iterator[tuple[dict[str, str], bytes]]
                 del held[: end + 8 + n]
                 continue
         if ended:
-            if held or not zip_.eof and zip_.unconsumed_tail:
+            if held or begun and not zip_.eof:
                 raise ValueError("the archive ends inside a record")
             return
         data = left or file.read(size)
         if not data:
             ended = True
             continue
+        if not packed:
+            held += data
+            left = b""
+            continue
         if zip_.eof:
             zip_ = zlib.decompressobj(31)
+        begun = True
         held += zip_.decompress(data)
         left = zip_.unused_data
 
@@ -185,7 +192,8 @@ def read(manifest: DataFrame, payloads: bool = True) -> DataFrame:
     """A row for each response and revisit of the archives of a manifest.
 
     complete is false, and the payload null, where segments are missing, the total length is not
-    that of the parts, or the payload is not that of the digest."""
+    that of the parts, or the payload is not that of the digest; without the first segment all
+    else is null, too."""
     import json
 
     def scan(batches):
@@ -235,8 +243,9 @@ def read(manifest: DataFrame, payloads: bool = True) -> DataFrame:
                 unique = {s["number"]: s for s in own}
                 order = [unique[i] for i in sorted(unique)]
                 total = order[-1]["total"]
-                if order[0]["number"] != 1:
-                    continue  # its first record is lost, and with it what it was
+                if order[0]["number"] != 1:  # its first record is lost, and with it what page it was
+                    out.append((None, None, "response", None, None, None, None, False))
+                    continue
                 gap = [s["number"] for s in order] != list(range(1, len(order) + 1)) or total is None
                 out.append(assembled(json.loads(order[0]["head"]), b"".join(s["block"] for s in order), -1 if gap else total, payloads))
             yield pa.RecordBatch.from_arrays(rows(out), names=names)
