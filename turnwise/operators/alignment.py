@@ -17,6 +17,8 @@ MARK = "/"
 def with_grams(turns: DataFrame, max_ngram: int = 2, taggers: Sequence[str] = ("",)) -> DataFrame:
     """n-gram arrays of each turn, made once, before turns are paired: g_tok1, g_lem1, k_tok1 (word
     and tag of each gram) and p_tok1 (its tags), by n; taggers by prefix ("" is the base one)."""
+    if max_ngram < 1:
+        raise ValueError("max_ngram must be 1 or more")
     # tags and word/tag keys once, then their n-grams
     made = []
     for short, name in (("tok", "token"), ("lem", "lemma")):
@@ -47,30 +49,34 @@ def lexsyn(turns: DataFrame, lag: int = 1, max_ngram: int = 2, ignore_duplicates
     gram (word and tag) that the other side has, too, does not count for syntax; then two equal
     turns score 0.  The lexical master is null if one of its parts is; the syntactic one is the
     mean over n of 2 or more, null if there is none."""
-    if max_ngram < 1:
-        raise ValueError("max_ngram must be 1 or more")
     prepared = with_grams(turns, max_ngram, taggers)
+    pairs = lag_pairs(prepared, ["content", "token", "lemma", *gram_columns(max_ngram, taggers)], lag)
+    return lexsyn_metrics(pairs, max_ngram, ignore_duplicates, taggers)
+
+
+def lexsyn_metrics(pairs: DataFrame, max_ngram: int = 2, ignore_duplicates: bool = True, taggers: Sequence[str] = ("",)) -> DataFrame:
+    """lexsyn()'s columns on pairs of with_grams() turns: a projection, which moves no row."""
     grams = gram_columns(max_ngram, taggers)
-    pairs = lag_pairs(prepared, ["content", "token", "lemma", *grams], lag)
-    lexical, syntactic, bags = [], [], {}
+    lexical, syntactic, made, shared = [], [], {}, {}
     for n in range(1, max_ngram + 1):
         for short, name in (("tok", "token"), ("lem", "lemma")):
             some = (F.size(f"{name}1") > 0) & (F.size(f"{name}2") > 0) & F.col(f"{name}2").isNotNull()
             lexical.append(f"lexical_{short}{n}_cosine")
-            bags[lexical[-1]] = some, F.col(f"g_{short}{n}1"), F.col(f"g_{short}{n}2")
+            made[lexical[-1]] = F.when(some, sim.bag_cosine(F.col(f"g_{short}{n}1"), F.col(f"g_{short}{n}2")))
             for prefix in taggers:
                 one, two = (F.col(f"k_{prefix}{short}{n}{s}") for s in "12")
                 column = f"{prefix + '_' if prefix else ''}pos_{short}{n}_cosine"
                 if n > 1:
                     syntactic.append(column)
                 if ignore_duplicates:
-                    shared = F.array_intersect(F.transform(one, lambda x: x["key"]), F.transform(two, lambda x: x["key"]))
-                    one, two = sim.lacking(one, shared), sim.lacking(two, shared)
-                bags[column] = some, *(F.transform(side, lambda x: x["tags"]) for side in (one, two))
-    pairs = pairs.join(bag_cosines(pairs, ["source_file", "time"], bags), ["source_file", "time"], "left")
-    pairs = pairs.withColumn("lexical_master_cosine", sim.strict_mean([F.col(c) for c in lexical]))
+                    # a column of its own, so that it is found once for a pair, not once for each gram
+                    known = f"_shared_{prefix}{short}{n}"
+                    shared[known] = F.array_intersect(F.transform(one, lambda x: x["key"]), F.transform(two, lambda x: x["key"]))
+                    one, two = sim.lacking(one, F.col(known)), sim.lacking(two, F.col(known))
+                made[column] = F.when(some, sim.bag_cosine(*(F.transform(side, lambda x: x["tags"]) for side in (one, two))))
+    pairs = pairs.withColumns(shared).withColumns(made).withColumn("lexical_master_cosine", sim.strict_mean([F.col(c) for c in lexical]))
     master = sim.strict_mean([F.col(c) for c in syntactic]) if syntactic else F.lit(None).cast("double")
-    return pairs.withColumn("syntactic_master_cosine", master).drop(*[f"{g}{s}" for g in grams for s in ("", "1", "2")])
+    return pairs.withColumn("syntactic_master_cosine", master).drop(*shared, *[f"{g}{s}" for g in grams for s in ("", "1", "2")])
 
 
 def bag_cosines(pairs: DataFrame, keys: Sequence[str], bags: dict) -> DataFrame:

@@ -24,35 +24,52 @@ def content_tokens(content: Column) -> Column:
     return F.filter(F.split(F.lower(content), r"\s+"), lambda w: w != "")
 
 
-def mean_pooled(turns: DataFrame, vectors: DataFrame, column: str, out: str, dims: int) -> DataFrame:
-    """turns with the mean vector of a column's tokens, repeats counted; null if none is known.
-    Tokens are counted before they meet the vectors, and each dimension is a plain sum."""
-    tokens = turns.select("source_file", "turn", F.explode(column).alias("word")).groupBy("source_file", "turn", "word").agg(F.count("*").alias("_n"))
+def mean_pooled(turns: DataFrame, vectors: DataFrame, columns: dict[str, str | Column], dims: int) -> DataFrame:
+    """turns with a mean vector for each of the columns (name of the vector: token column), repeats
+    counted; null if no token is known.  All columns go through one explode, one join and one
+    aggregate: tokens are counted before they meet the vectors, and each dimension is a plain sum."""
+    names = list(columns)
+
+    def marked(i: int, c: str | Column) -> Column:
+        found = F.transform(c if isinstance(c, Column) else F.col(c), lambda w: F.struct(F.lit(i).alias("which"), w.alias("word")))
+        return F.coalesce(found, F.array().cast("array<struct<which:int,word:string>>"))
+
+    lists = [marked(i, c) for i, c in enumerate(columns.values())]
+    tokens = turns.select("source_file", "turn", F.explode(F.concat(*lists)).alias("_x")).groupBy("source_file", "turn", F.col("_x.which").alias("_which"), F.col("_x.word").alias("word")).agg(F.count("*").alias("_n"))
     sums = [F.sum(F.col("vector")[i].cast("double") * F.col("_n")).alias(f"_s{i}") for i in range(dims)]
-    pooled = tokens.join(vectors, "word").groupBy("source_file", "turn").agg(F.sum("_n").alias("_all"), *sums)
-    mean = F.array(*[F.col(f"_s{i}") / F.col("_all") for i in range(dims)])
-    return turns.join(pooled.select("source_file", "turn", mean.alias(out)), ["source_file", "turn"], "left")
+    pooled = tokens.join(vectors, "word").groupBy("source_file", "turn", "_which").agg(F.sum("_n").alias("_all"), *sums)
+    pooled = pooled.select("source_file", "turn", "_which", F.array(*[F.col(f"_s{i}") / F.col("_all") for i in range(dims)]).alias("_mean"))
+    wide = pooled.groupBy("source_file", "turn").agg(*[F.max(F.when(F.col("_which") == i, F.col("_mean"))).alias(n) for i, n in enumerate(names)])
+    return turns.join(wide, ["source_file", "turn"], "left")
 
 
-def static_similarity(turns: DataFrame, vectors: DataFrame | None, lag: int = 1, model: str = "static", dims: int = 64, vocabulary: DataFrame | None = None) -> DataFrame:
-    """Cosines of the mean vectors of content, tokens and lemmas with those `lag` turns on, and the
-    mean of those there are.  Without vectors all are null.  A vocabulary restricts tokens."""
-    names = {"content": f"{model}_cosine_similarity", "token": f"token_{model}_cosine_similarity", "lemma": f"lemma_{model}_cosine_similarity"}
+STATIC = ("content", "token", "lemma")
+
+
+def with_static(turns: DataFrame, vectors: DataFrame | None, dims: int = 64, vocabulary: DataFrame | None = None) -> DataFrame:
+    """turns with content_embedding, token_embedding and lemma_embedding, all null without vectors.
+    A vocabulary restricts tokens."""
     if vectors is None:
-        pairs = lag_pairs(turns, ["content", "token", "lemma"], lag)
-        for name in [*names.values(), f"master_{model}_cosine_similarity"]:
-            pairs = pairs.withColumn(name, F.lit(None).cast("double"))
-        return pairs
+        return turns.select("*", *[F.lit(None).cast("array<double>").alias(f"{c}_embedding") for c in STATIC])
     if vocabulary is not None:
         vectors = vectors.join(vocabulary.select("word"), "word", "left_semi")
-    own = turns.withColumn("_words", content_tokens(F.col("content")))
-    for column, source in (("content", "_words"), ("token", "token"), ("lemma", "lemma")):
-        own = mean_pooled(own, vectors, source, f"{column}_embedding", dims)
-    embedded = [f"{c}_embedding" for c in names]
-    pairs = lag_pairs(own.drop("_words"), ["content", "token", "lemma", *embedded], lag)
+    return mean_pooled(turns, vectors, {"content_embedding": content_tokens(F.col("content")), "token_embedding": "token", "lemma_embedding": "lemma"}, dims)
+
+
+def static_metrics(pairs: DataFrame, model: str = "static") -> DataFrame:
+    """The cosines of pairs of with_static() turns, the mean of those there are, and dimensions."""
+    names = {"content": f"{model}_cosine_similarity", "token": f"token_{model}_cosine_similarity", "lemma": f"lemma_{model}_cosine_similarity"}
     for column, name in names.items():
-        pairs = pairs.withColumn(f"{column}_dims", F.size(f"{column}_embedding")).withColumn(name, dense_cosine(F.col(f"{column}_embedding1"), F.col(f"{column}_embedding2")))
-    return pairs.withColumn(f"master_{model}_cosine_similarity", present_mean([F.col(c) for c in names.values()])).drop(*embedded)
+        pairs = pairs.withColumn(f"{column}_dims", F.when(F.col(f"{column}_embedding").isNotNull(), F.size(f"{column}_embedding")))
+        pairs = pairs.withColumn(name, dense_cosine(F.col(f"{column}_embedding1"), F.col(f"{column}_embedding2")))
+    return pairs.withColumn(f"master_{model}_cosine_similarity", present_mean([F.col(c) for c in names.values()])).drop(*[f"{c}_embedding" for c in names])
+
+
+def static_similarity(turns: DataFrame, vectors: DataFrame | None, lag: int = 1, model: str = "static", dims: int = 64, vocabulary: DataFrame | None = None) -> DataFrame:
+    """Cosines of the mean vectors of content, tokens and lemmas with those `lag` turns on, and the
+    mean of those there are.  Without vectors all are null.  A vocabulary restricts tokens."""
+    own = with_static(turns, vectors, dims, vocabulary)
+    return static_metrics(lag_pairs(own, [*STATIC, *(f"{c}_embedding" for c in STATIC)], lag), model)
 
 
 def letter_counts(content: Column) -> Column:
@@ -79,11 +96,14 @@ def model_encoder(load: Callable[[], Callable[[Sequence[str]], Sequence[Sequence
     return encode
 
 
-def contextual_similarity(turns: DataFrame, encoder: Callable[[Column], Column] = letter_counts, lag: int = 1, model: str = "encoder", keep_vectors: bool = False) -> DataFrame:
-    """Cosine of the encodings of contents `lag` turns apart.  Each distinct content is encoded
-    once; the vector is joined back and paired, so no turn is encoded as both sides."""
+def with_encoding(turns: DataFrame, encoder: Callable[[Column], Column] = letter_counts) -> DataFrame:
+    """turns with _vector, the encoding of the content.  Each distinct content is encoded once."""
     texts = turns.select("content").where("content is not null").distinct().withColumn("_vector", encoder(F.col("content")))
-    pairs = lag_pairs(turns.join(texts, "content", "left"), ["content", "_vector"], lag)
+    return turns.join(texts, "content", "left")
+
+
+def contextual_metrics(pairs: DataFrame, model: str = "encoder", keep_vectors: bool = False) -> DataFrame:
+    """The cosine of pairs of with_encoding() turns."""
     pairs = pairs.withColumn(f"{model}_cosine_similarity", dense_cosine(F.col("_vector1"), F.col("_vector2"))).drop("_vector")
     for side in "12":
         name = f"content{side}_embedding_{model}"
@@ -91,3 +111,9 @@ def contextual_similarity(turns: DataFrame, encoder: Callable[[Column], Column]
         if not keep_vectors:
             pairs = pairs.drop(name)
     return pairs
+
+
+def contextual_similarity(turns: DataFrame, encoder: Callable[[Column], Column] = letter_counts, lag: int = 1, model: str = "encoder", keep_vectors: bool = False) -> DataFrame:
+    """Cosine of the encodings of contents `lag` turns apart; a vector is joined to its turn and
+    paired, so no turn is encoded as both sides."""
+    return contextual_metrics(lag_pairs(with_encoding(turns, encoder), ["content", "_vector"], lag), model, keep_vectors)

@@ -208,7 +208,7 @@ def vectors(spark, d, own):
 @query
 def mean_pool(spark, d):
     own = prepared(spark, d)
-    out = embeddings.mean_pooled(own, vectors(spark, d, own), "token", "v", 64)
+    out = embeddings.mean_pooled(own, vectors(spark, d, own), {"v": "token"}, 64)
     return out.select("source_file", "turn", F.posexplode_outer("v").alias("place", "x")).select("source_file", "turn", F.col("place").cast("long").alias("place"), F.round("x", 6).alias("x"))
 
 

@@ -82,24 +82,27 @@ def prepare(raw: DataFrame, options: PrepareOptions | None = None, **changes) ->
 
 
 def analyze(prepared: DataFrame, options: AnalyzeOptions | None = None, **changes) -> DataFrame:
-    """All chosen metrics of each pair of turns, joined by (source_file, time); files of one turn
-    are left out."""
+    """All chosen metrics of each pair of turns; files of one turn are left out.  What analyzers
+    need of a turn is added to it first; then turns are paired once, for all of them."""
     o = replace(options or AnalyzeOptions(), **changes)
-    own, out = turns.enough_turns(prepared), None
-    for name in o.chosen():
-        if name == "lexsyn":
-            found = alignment.lexsyn(own, o.lag, o.max_ngram, o.ignore_duplicates, o.taggers)
-        elif name == "static":
-            known = vocabulary.filtered(vocabulary.frequencies(own), o.low, o.sd) if o.filter_vocabulary else None
-            found = embeddings.static_similarity(own, o.vectors, o.lag, dims=o.dims, vocabulary=known)
-        else:
-            found = embeddings.contextual_similarity(own, o.encoder, o.lag, o.model)
-        if out is None:
-            out = found
-        else:
-            metrics = [c for c in found.columns if c.endswith("_similarity") or c.endswith("_cosine")]
-            out = out.join(found.select("source_file", "time", *metrics), ["source_file", "time"])
-    return out
+    chosen, own = o.chosen(), turns.enough_turns(prepared)
+    paired = [c for c in ("content", "token", "lemma") if c in own.columns]
+    if "static" in chosen:
+        known = vocabulary.filtered(vocabulary.frequencies(own), o.low, o.sd) if o.filter_vocabulary else None
+        own = embeddings.with_static(own, o.vectors, o.dims, known)
+        paired += [f"{c}_embedding" for c in embeddings.STATIC]
+    if "contextual" in chosen:
+        own = embeddings.with_encoding(own, o.encoder)
+        paired.append("_vector")
+    if "lexsyn" in chosen:
+        own = alignment.with_grams(own, o.max_ngram, o.taggers)
+        paired += alignment.gram_columns(o.max_ngram, o.taggers)
+    out = turns.lag_pairs(own, paired, o.lag)
+    if "lexsyn" in chosen:
+        out = alignment.lexsyn_metrics(out, o.max_ngram, o.ignore_duplicates, o.taggers)
+    if "static" in chosen:
+        out = embeddings.static_metrics(out)
+    return embeddings.contextual_metrics(out, o.model) if "contextual" in chosen else out
 
 
 def baseline(prepared: DataFrame, options: AnalyzeOptions | None = None, made: SurrogateOptions | None = None, existing: DataFrame | None = None, **changes) -> DataFrame:
