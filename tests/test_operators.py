@@ -108,12 +108,66 @@ def test_statistics(spark):
 
 
 def test_tsv(spark, tmp_path):
-    (tmp_path / "a.txt").write_text("participant\tcontent\tmood\ncgv\thello \"you\"\tok\nkid\t\t\nkid\tNA\tx\n")
+    (tmp_path / "a.txt").write_text("participant\tcontent\tmood\ncgv\thello \"you\"\tok\nkid\t\t\n\nkid\tNA\tx\n")
     (tmp_path / "b.txt").write_text("speaker\tcontent\nx\ty\n")
     (tmp_path / "c.txt").write_text("participant\tcontent\n")
     (tmp_path / "d.txt").write_text("")
-    got = conversations.read_tsv(spark, str(tmp_path), missing=["NA"]).orderBy("turn").collect()
-    assert [tuple(r) for r in got] == [("a.txt", 0, "cgv", 'hello "you"', "ok"), ("a.txt", 1, "kid", None, None), ("a.txt", 2, "kid", None, "x")]
+    got = conversations.read_tsv(spark, str(tmp_path)).orderBy("turn").collect()
+    assert [(r["source_file"], r["turn"], r["participant"], r["content"], r["mood"]) for r in got] == [("a.txt", 0, "cgv", 'hello "you"', "ok"), ("a.txt", 1, "kid", None, None), ("a.txt", 2, "kid", None, "x")]
+    only = conversations.read_tsv(spark, str(tmp_path), required=["content"], more=[]).where("source_file = 'b.txt'")
+    assert [tuple(r) for r in only.collect()] == [("b.txt", 0, "y")]
+
+
+def test_tsv_with_quotes_as_pandas_reads_it(spark, tmp_path):
+    import pandas as pd
+
+    text = 'content\tparticipant\n"he said ""hi"""\ta\nNA\tb\n"a tab\there"\tc\n"two\nlines"\td\nmid "quote"\te\n""\tf\nnull\tg\r\n"x"y\th\n\n"last"\ti'
+    (tmp_path / "one").mkdir()
+    (tmp_path / "two").mkdir()
+    (tmp_path / "one" / "f.txt").write_bytes(text.encode())
+    (tmp_path / "two" / "f.txt").write_bytes(b"participant\tcontent\nz\tother\n")
+    got = conversations.read_tsv(spark, [str(tmp_path / "one"), str(tmp_path / "two")]).orderBy("source_file", "turn").collect()
+    want = pd.read_csv(tmp_path / "one" / "f.txt", sep="\t")
+    assert [(r["participant"], r["content"]) for r in got if r["source_file"] == "one/f.txt"] == [(p, None if pd.isna(c) else c) for p, c in zip(want["participant"], want["content"], strict=True)]
+    assert [(r["source_file"], r["content"]) for r in got][-1] == ("two/f.txt", "other")
+
+
+def test_models_plug_in(spark):
+    from turnwise.functions import morphology
+    from turnwise.operators import embeddings
+
+    t = frame(spark, ("a", "the dog runs"), ("b", "a cat"), ("a", "  "), ("b", "the dog runs"))
+    tagger = morphology.model_tagger(lambda: lambda lists: [[w.upper() for w in x] for x in lists])
+    own = pipeline.prepare(t, extra_taggers={"spacy": tagger}, min_words=0)
+    row = own.where("turn = 0").first()
+    assert [tuple(x) for x in row["tagged_spacy_token"]] == [("the", "THE"), ("dog", "DOG"), ("runs", "RUNS")]
+    assert alignment.tagger_of(own) == "spacy" and turns.in_transcript_order(own).columns[:2] == ["participant", "content"]
+    scored = alignment.in_result_order(alignment.lexsyn(own, taggers=("", "spacy"))).columns
+    assert scored[:4] == ["time", "source_file", "participant", "content"]
+    at = scored.index("lexical_tok2_cosine")
+    assert scored[at : at + 8] == ["lexical_tok2_cosine", "lexical_lem2_cosine", "pos_tok2_cosine", "pos_lem2_cosine", "spacy_pos_tok2_cosine", "spacy_pos_lem2_cosine", "lexical_master_cosine", "syntactic_master_cosine"]
+    encoder = embeddings.model_encoder(lambda: lambda texts: [[len(x), 1.0] for x in texts])
+    pairs = embeddings.contextual_similarity(t, encoder).orderBy("time").collect()
+    assert pairs[0]["encoder_cosine_similarity"] == pytest.approx((12 * 5 + 1) / sqrt(145 * 26))
+    assert pairs[1]["encoder_cosine_similarity"] is None and pairs[2]["encoder_cosine_similarity"] is None
+
+
+def test_one_file_runs_and_writers(spark, tmp_path):
+    rows = [(f"dyad{k}-cond1.txt", i, "ab"[i % 2], c) for k in (1, 2) for i, c in enumerate(["the dog runs", "a dog sat", "the cat runs"])]
+    own = pipeline.prepare(spark.createDataFrame(rows, "source_file string, turn long, participant string, content string"))
+    one = pipeline.analyze_file(own, "dyad1-cond1.txt")
+    assert {r["source_file"] for r in one.collect()} == {"dyad1-cond1.txt"} and one.count() == 3
+    means = {r["run"]: (r["n"], r["mean"]) for r in statistics.compare_runs({"x": one, "y": pipeline.analyze(own)}, "lexical_tok1_cosine").collect()}
+    assert means["x"][0] == 2 and means["y"][0] == 4 and means["x"][1] == pytest.approx(means["y"][1])
+    sinks.write_surrogates(surrogates.surrogates(own), str(tmp_path / "s"))
+    assert spark.read.parquet(str(tmp_path / "s")).select("source_file").distinct().count() == 2
+    with pytest.raises(ValueError):
+        sinks.write_surrogates(surrogates.surrogates(own).limit(0), str(tmp_path / "t"))
+    sinks.write_csv(one, str(tmp_path / "c"))
+    back = spark.read.option("header", True).csv(str(tmp_path / "c"))
+    assert back.count() == 3 and "lexical_master_cosine" in back.columns
+    sinks.write_vocabulary(spark.createDataFrame([("a", 1), ("b", 3)], "word string, count long"), str(tmp_path / "v"))
+    assert spark.read.option("header", True).option("sep", "\t").csv(str(tmp_path / "v")).first()["word"] == "b"
 
 
 def test_vectors_lists_and_names(spark, tmp_path):

@@ -3,8 +3,10 @@ SQL engine reads; models plug in as functions from a token column to a column of
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator, Sequence
 from typing import Protocol
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -109,3 +111,23 @@ def _lemma(w: Column, kind: Column) -> Column:
         inner = inner.otherwise(w)
         out = F.when(kind == name, inner) if out is None else out.when(kind == name, inner)
     return out.otherwise(w)
+
+
+def model_tagger(load: Callable[[], Callable[[Sequence[list[str]]], Sequence[Sequence[str]]]]) -> Tagger:
+    """A tagger (or lemmatizer) from a model: load() runs once for each Python worker, and what it
+    returns tags a batch of token lists, a tag for each token."""
+
+    @F.pandas_udf("array<string>")
+    def tag(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        model = load()
+        for tokens in batches:
+            some = tokens[tokens.notna()]
+            lists = [list(x) for x in some]
+            found = pd.Series([None] * len(tokens), index=tokens.index, dtype=object)
+            for at, words, tags in zip(some.index, lists, model(lists) if lists else (), strict=True):
+                if len(words) != len(tags):
+                    raise ValueError("a tagger must give one tag for each token")
+                found[at] = list(tags)
+            yield found
+
+    return tag

@@ -79,6 +79,22 @@ def lexsyn_metrics(pairs: DataFrame, max_ngram: int = 2, ignore_duplicates: bool
     return pairs.withColumn("syntactic_master_cosine", master).drop(*shared, *[f"{g}{s}" for g in grams for s in ("", "1", "2")])
 
 
+def tagger_of(turns: DataFrame) -> str | None:
+    """The prefix of the further tagger whose tags turns hold, if any."""
+    return next((p for p in ("stan", "spacy") if f"tagged_{p}_token" in turns.columns), None)
+
+
+def in_result_order(pairs: DataFrame) -> DataFrame:
+    """The columns of lexsyn() in their order: turn, pair, cosines by n, masters, further ones."""
+    first = ["time", "source_file", "participant", "content", "token", "lemma", "tagged_token", "tagged_lemma", *[f"tagged_{p}_{n}" for p in ("stan", "spacy") for n in ("token", "lemma")]]
+    first += ["lag", "utter_order", "content1", "content2", "utterance_length1", "utterance_length2"]
+    numbers = sorted({int(c.removeprefix("lexical_tok").removesuffix("_cosine")) for c in pairs.columns if c.startswith("lexical_tok") and c.endswith("_cosine")})
+    first += [f"{kind}_{s}{n}_cosine" for n in numbers for kind in ("lexical", "pos", "stan_pos", "spacy_pos") for s in ("tok", "lem")]
+    first += ["lexical_master_cosine", "syntactic_master_cosine"]
+    known = [c for c in first if c in pairs.columns]
+    return pairs.select(*known, *[c for c in pairs.columns if c not in known])
+
+
 def bag_cosines(pairs: DataFrame, keys: Sequence[str], bags: dict) -> DataFrame:
     """(keys, a column for each bag): cosines of the counts of two string arrays, for several pairs
     of arrays (condition, left, right) at once; null where the condition fails, 0 if a side is

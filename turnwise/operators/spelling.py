@@ -43,17 +43,18 @@ def corrections(words: DataFrame, model: DataFrame, edits: int = 2) -> DataFrame
     the most frequent known word one edit away (ties: the first by code point), else two edits
     away, else itself.  An edit deletes, inserts, replaces or swaps neighbours."""
     words = words.select("word").where("word is not null").distinct()
-    fixed = words.join(model, "word", "left_semi").union(words.where(F.col("word").contains("'"))).distinct()
-    todo = words.join(fixed, "word", "left_anti")
-    out = fixed.select("word", F.col("word").alias("corrected"))
-    for most, near in ((1, _one_edit), (2, _two_edits))[:edits]:
-        lost = todo.select("word", F.explode(_deletions(F.col("word"), most)).alias("cut"))
-        known = model.select(F.col("word").alias("known"), "n", F.explode(_deletions(F.col("word"), most)).alias("cut"))
-        met = lost.join(known, "cut").select("word", "known", "n").distinct().where(near(F.col("word"), F.col("known")))
-        best = met.groupBy("word").agg(F.min_by("known", F.struct((-F.col("n")).alias("m"), "known")).alias("corrected"))
-        out = out.union(best)
-        todo = todo.join(best, "word", "left_anti")
-    return out.union(todo.select("word", F.col("word").alias("corrected")))
+    words = words.join(model.select("word", F.lit(True).alias("known")), "word", "left")
+    words = words.select("word", (F.coalesce("known", F.lit(False)) | F.col("word").contains("'")).alias("fixed"))
+    # one join on deletions finds what is one and what is two edits away
+    lost = words.where("not fixed").select("word", F.explode(_deletions(F.col("word"), edits)).alias("cut"))
+    known = model.select(F.col("word").alias("known"), "n", F.explode(_deletions(F.col("word"), edits)).alias("cut"))
+    met = lost.join(known, "cut").select("word", "known", "n").distinct()
+    away = F.when(_one_edit(F.col("word"), F.col("known")), 1)
+    if edits > 1:
+        away = away.when(_two_edits(F.col("word"), F.col("known")), 2)
+    met = met.withColumn("away", away).where("away is not null")
+    best = met.groupBy("word").agg(F.min_by("known", F.struct("away", (-F.col("n")).alias("m"), "known")).alias("near"))
+    return words.join(best, "word", "left").select("word", F.coalesce("near", "word").alias("corrected"))
 
 
 def corrected_tokens(turns: DataFrame, model: DataFrame, edits: int = 2) -> DataFrame:

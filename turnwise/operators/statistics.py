@@ -54,6 +54,15 @@ def compare(real: DataFrame, baseline: DataFrame, metrics: Sequence[str]) -> Dat
     return out.withColumn("effect", F.when(size < 0.2, "negligible").when(size < 0.5, "small").when(size < 0.8, "medium").when(size.isNotNull(), "large"))
 
 
+def compare_runs(runs: dict[str, DataFrame], metric: str) -> DataFrame:
+    """(run, n, mean) of a metric in several runs, such as those with different taggers."""
+    found = None
+    for name, df in runs.items():
+        one = df.agg(F.count(metric).alias("n"), F.avg(metric).alias("mean")).select(F.lit(name).alias("run"), "n", "mean")
+        found = one if found is None else found.unionByName(one)
+    return found
+
+
 def with_p_values(table: DataFrame) -> DataFrame:
     """compare()'s rows with p_value; they are as many as there are metrics, so the driver does it."""
     rows = [tuple(r) + (p_value(r["t_statistic"], r["real_n"] + r["baseline_n"] - 2),) for r in table.collect()]

@@ -59,6 +59,13 @@ def annotate(turns: DataFrame, tagger: morphology.Tagger = morphology.rule_tags,
     return out
 
 
+def in_transcript_order(turns: DataFrame) -> DataFrame:
+    """The columns of a prepared transcript in their order, further ones last."""
+    first = ["participant", "content", "token", "lemma", "tagged_token", "tagged_lemma", *[f"tagged_{p}_{n}" for p in ("stan", "spacy") for n in ("token", "lemma")], "source_file", "turn"]
+    known = [c for c in first if c in turns.columns]
+    return turns.select(*known, *[c for c in turns.columns if c not in known])
+
+
 def enough_turns(turns: DataFrame, least: int = 2) -> DataFrame:
     """Only files of `least` rows or more."""
     return turns.withColumn("_n", F.count("*").over(Window.partitionBy("source_file"))).where(F.col("_n") >= least).drop("_n")

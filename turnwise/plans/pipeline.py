@@ -105,6 +105,11 @@ def analyze(prepared: DataFrame, options: AnalyzeOptions | None = None, **change
     return embeddings.contextual_metrics(out, o.model) if "contextual" in chosen else out
 
 
+def analyze_file(prepared: DataFrame, source_file: str, options: AnalyzeOptions | None = None, **changes) -> DataFrame:
+    """analyze() of one file."""
+    return analyze(prepared.where(F.col("source_file") == source_file), options, **changes)
+
+
 def baseline(prepared: DataFrame, options: AnalyzeOptions | None = None, made: SurrogateOptions | None = None, existing: DataFrame | None = None, **changes) -> DataFrame:
     """analyze() over surrogates, made from prepared turns (whose tokens, lemmas and tags come
     along) or given."""

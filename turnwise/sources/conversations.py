@@ -16,28 +16,54 @@ def read_parquet(spark: SparkSession, path: str, conditions: int = 25) -> DataFr
     return spark.read.parquet(path).select(name.alias("source_file"), "turn", F.col("role").alias("participant"), F.col("text").alias("content"))
 
 
-def read_tsv(spark: SparkSession, paths: str | Sequence[str], pattern: str = "*.txt", missing: Sequence[str] = ()) -> DataFrame:
+#: What counts as missing besides the empty string (fixed values).
+MISSING = ("#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null")
+#: A field: in quotes, which are doubled inside and may hold tabs and line ends, or plain.
+_FIELD = r'(?:"[^"]*+(?:""[^"]*+)*+(?:"[^\t\n]*+|$)|[^\t\n"][^\t\n]*+|)'
+#: Files whose headers are read for the names of further columns.
+HEADERS = 16
+
+
+def read_tsv(spark: SparkSession, paths: str | Sequence[str], pattern: str = "*.txt", missing: Sequence[str] = MISSING, required: Sequence[str] = REQUIRED, more: Sequence[str] | None = None) -> DataFrame:
     """Turns of tab-separated files with a header, one conversation a file, in the order of lines.
 
-    Files without the columns participant and content are left out; other columns are strings of
-    their own.  Values in `missing`, and empty ones, are null.  Files are read whole, since only so
-    do lines keep their order."""
+    A field that begins with a quote is quoted; empty fields and those in `missing` are null, and
+    blank lines are passed over.  Files without the required columns are left out.  `more` names
+    further columns, which are strings; without it they are those of the first few files.  Files of
+    one name in several folders keep as much of their path as tells them apart.  Files are read
+    whole, since only so do lines keep their order."""
     paths = [paths] if isinstance(paths, str) else list(paths)
-    raw = spark.read.option("pathGlobFilter", pattern).text(paths, wholetext=True).withColumn("source_file", F.element_at(F.split(F.input_file_name(), "/"), -1))
-    lines = raw.select("source_file", F.split(F.regexp_replace("value", "\r\n?", "\n"), "\n").alias("_lines"))
-    lines = lines.withColumn("_head", F.split(F.regexp_replace(F.col("_lines")[0], "^﻿", ""), "\t"))
-    lines = lines.where(F.array_contains("_head", REQUIRED[0]) & F.array_contains("_head", REQUIRED[1]))
-    rows = lines.select("source_file", "_head", F.posexplode(F.slice("_lines", 2, 1 << 30)).alias("_at", "_line")).where("_line <> ''")
-    values = F.split("_line", "\t", -1)
-
-    def column(name: str) -> Column:
-        got = F.try_element_at(values, F.array_position("_head", name).cast("int"))
-        got = F.when(F.col("_head").isNotNull() & (F.array_position("_head", name) > 0), got)
-        return F.when((got == "") | got.isin(*missing), None).otherwise(got) if missing else F.nullif(got, F.lit(""))
-
-    names = [r[0] for r in lines.select(F.explode("_head")).distinct().collect()]  # header names only
-    more = sorted(n for n in names if n and n not in (*REQUIRED, "turn", "source_file"))
-    return rows.select("source_file", F.col("_at").cast("long").alias("turn"), *[column(n).alias(n) for n in (*REQUIRED, *more)])
+    read = lambda at: spark.read.option("pathGlobFilter", pattern).text(at, wholetext=True)
+    raw = read(paths)
+    files = sorted(raw.inputFiles())  # the names that were listed to plan the read
+    depth = 1
+    while len({tuple(f.split("/")[-depth:]) for f in files}) < len(files):
+        depth += 1
+    name = F.array_join(F.slice(F.split(F.input_file_name(), "/"), -depth, depth), "/") if depth > 1 else F.element_at(F.split(F.input_file_name(), "/"), -1)
+    text = F.regexp_replace(F.regexp_replace("value", "^\ufeff", ""), "\r\n?", "\n")
+    records = F.filter(F.regexp_extract_all(text, F.lit(rf"{_FIELD}(?:\t{_FIELD})*+"), F.lit(0)), lambda r: r != "")
+    fields = lambda r: F.transform(F.regexp_extract_all(F.concat(F.lit("\t"), r), F.lit(rf"\t({_FIELD})"), F.lit(1)), _unquoted)
+    lines = raw.select(name.alias("source_file"), records.alias("_lines")).withColumn("_head", fields(F.col("_lines")[0]))
+    for c in required:
+        lines = lines.where(F.array_contains("_head", c))
+    rows = lines.select("source_file", "_head", F.posexplode(F.slice("_lines", 2, 1 << 30)).alias("_at", "_line"))
+    rows = rows.select("source_file", "_head", "_at", fields(F.col("_line")).alias("_values"))
+
+    def column(c: str) -> Column:
+        got = F.when(F.array_position("_head", c) > 0, F.try_element_at("_values", F.array_position("_head", c).cast("int")))
+        return F.when((got != "") & ~got.isin(*missing), got) if missing else F.nullif(got, F.lit(""))
+
+    if more is None:
+        some = read(files[:HEADERS]).select(fields(F.split(text, "\n")[0]).alias("h")).collect() if files else []
+        more = sorted({n for r in some for n in r["h"]})
+    more = [n for n in more if n and n not in (*REQUIRED, "turn", "source_file")]
+    kept = [c for c in REQUIRED if c in required]
+    return rows.select("source_file", F.col("_at").cast("long").alias("turn"), *[column(n).alias(n) for n in (*kept, *more)])
+
+
+def _unquoted(field: Column) -> Column:
+    inner = F.regexp_replace(F.regexp_replace(field, r'^"((?:[^"]|"")*+)"?', "$1"), '""', '"')
+    return F.when(field.startswith('"'), inner).otherwise(field)
 
 
 def read_vectors(spark: SparkSession, path: str) -> DataFrame:

@@ -44,5 +44,12 @@ def write_transcripts(turns: DataFrame, path: str) -> None:
     turns.repartition("source_file").sortWithinPartitions("source_file", "turn").write.mode("overwrite").partitionBy("source_file").parquet(path)
 
 
+def write_surrogates(made: DataFrame, path: str) -> None:
+    """write_transcripts() of surrogates; raises if there are none."""
+    if made.isEmpty():
+        raise ValueError("no surrogate was made")
+    write_transcripts(made, path)
+
+
 def write_vocabulary(counts: DataFrame, path: str) -> None:
     write_csv(counts.orderBy(F.desc("count"), "word"), path, "\t")
