@@ -26,7 +26,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for number, (name, stage) in enumerate(STAGES[:-1]):
         with scratch() as keep:
-            done = keep(spool(stage(spark, docs, sf_dir), f"pipeline-{name}"))
+            done = keep(spool(stage(spark, docs, sf_dir), f"pipeline-{name}", as_is=True))
         if number:
             discard(docs)
         docs = done

@@ -214,6 +214,16 @@ def test_exact_dedup_of_edges(spark, edge, none, budget):
     assert exact.classes(none).count() == exact.deduplicated(none).count() == 0
 
 
+def test_many_partitions(spark):
+    """More partitions than cores: no two tasks number or name things alike."""
+    rows = [(i, f"text {i % 70} " + "x" * 120) for i in range(400)]
+    found = exact.classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(60)).collect()
+    assert len(found) == 400 and sum(r["kept"] for r in found) == 70 and {r["keep_id"] for r in found} == set(range(70))
+    pages = spark.createDataFrame([(i, "u", t) for i, t in rows], "page_id long, url string, html string").repartition(60)
+    back = warc.read(warc.write(pages, archive=1 << 9)).collect()
+    assert len(back) == 400 and sum(r["record_type"] == "response" for r in back) == 70
+
+
 def brute_components(fps, radius):
     root = {i: i for i in fps}
 

@@ -51,17 +51,22 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return at
 
 
-def spool(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+def spool(df: DataFrame, name: str, rows: int | None = None, as_is: bool = False) -> DataFrame:
     """Write df to the shared folder and read it back: the lineage ends there, and a lost
     executor loses nothing of it.
 
     Small tables are written by as many tasks as there are cores, not one file for each shuffle
     partition: by the planner's estimate of bytes, or by a bound of rows where a join makes that
-    useless.  Large ones keep their partitions."""
+    useless.  Large ones keep their partitions, and so does what is given as_is: a task then works
+    on one partition, as code needs that counts on its partition's number, and as suits a table
+    that is dear to make."""
     spark = df.sparkSession
-    size = rows // FILE_ROWS if rows is not None else int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) // FILE_BYTES
     path = shared_path(spark, name)
-    df.coalesce(max(spark.sparkContext.defaultParallelism, min(size, 1 << 24))).write.parquet(path)
+    if as_is:
+        df.write.parquet(path)
+    else:
+        size = rows // FILE_ROWS if rows is not None else int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) // FILE_BYTES
+        df.coalesce(max(spark.sparkContext.defaultParallelism, min(size, 1 << 24))).write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._spooled = path
     return out

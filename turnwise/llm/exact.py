@@ -235,7 +235,7 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", budget:
     smallest id, null ids last; of rows alike in text and id exactly one has kept = true.  An
     empty table gives none."""
     names = ["rep", "lead", "members", "text_sha256", "deal"]
-    local = spool(_reduced(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), "doc_id", "text", names, True), "exact")
+    local = spool(_reduced(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), "doc_id", "text", names, True), "exact", as_is=True)
 
     def own(batches):
         trie = Trie(budget)

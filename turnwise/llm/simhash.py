@@ -224,7 +224,7 @@ def grouped(docs: DataFrame, words: int = 3, radius: int = 3, segments: int = 2,
     A null text counts as empty; texts without words have fingerprint 0 and are linked like any
     other.  Repeated rows are in one component.  An empty table gives none."""
     with scratch() as keep:
-        own = keep(spool(fingerprints(docs, words, doc_id, text), "fingerprints"))
+        own = keep(spool(fingerprints(docs, words, doc_id, text), "fingerprints", as_is=True))
         first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark"))
         kinds = spool(own.groupBy("fp").agg(first.alias("lead")), "kinds")
         nodes = components(links(kinds.select("fp"), radius, segments))

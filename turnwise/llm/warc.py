@@ -150,7 +150,7 @@ def write(pages: DataFrame, page_id: str = "page_id", url: str = "url", page: st
                 rows += 1
                 for raw in page_records(p, u, d, f, payload, f"{to}/{task.partitionId()}/{rows}", segment):
                     if file is None:
-                        path = f"part-{task.partitionId():05d}-{task.taskAttemptId()}-{number}.warc.gz"
+                        path = f"part-{task.partitionId():05d}-{task.taskAttemptId()}-{number}-{uuid.uuid4().hex[:12]}.warc.gz"
                         file, size, count, number = system.open_output_stream(f"{base}/{path}", compression=None), 0, 0, number + 1
                         file.write(zipped(record({"WARC-Type": "warcinfo", "WARC-Record-ID": f"<urn:uuid:{uuid.uuid4()}>", "WARC-Date": "2024-01-01T00:00:00Z", "Content-Type": "application/warc-fields"}, info)))
                     raw = zipped(raw)
@@ -165,7 +165,7 @@ def write(pages: DataFrame, page_id: str = "page_id", url: str = "url", page: st
             done.append((path, count))
         yield pa.RecordBatch.from_arrays([pa.array([f"{to}/{x}" for x, _ in done], pa.string()), pa.array([n for _, n in done], pa.int64())], names=["path", "records"])
 
-    return spool(marked(pages, page_id, url, page).mapInArrow(run, "path string, records long"), "manifest")
+    return spool(marked(pages, page_id, url, page).mapInArrow(run, "path string, records long"), "manifest", as_is=True)
 
 
 _ROW = "page_id long, url string, record_type string, refers_to long, payload_digest string, payload_bytes long, payload binary, complete boolean"
