@@ -58,8 +58,8 @@ def test_language_counts_do_not_depend_on_chunks(monkeypatch):
     assert dict(zip(*(x.tolist() for x in langid.counted(text)), strict=True)) == whole
 
 
-def brute_profile(text, most):
-    """Out-of-place ranks by hand: counts of n-grams as strings, ties by their keys."""
+def brute_counts(text):
+    """Counts of n-grams as strings, by the keys that settle ties."""
     import re
 
     padded = "_" + re.sub(r"[\W\d_]+", "_", text.lower()).strip("_") + "_"
@@ -73,6 +73,12 @@ def brute_profile(text, most):
                     key = (key * 0x9E3779B97F4A7C15 + ord(c) + 1) % 2**64
                     key ^= key >> 29
                 counts[key] += 1
+    return counts
+
+
+def brute_profile(text, most):
+    """Out-of-place ranks by hand, of a text or of counts."""
+    counts = brute_counts(text) if isinstance(text, str) else text
     return sorted(counts, key=lambda k: (-counts[k], k))[:most]
 
 
@@ -332,9 +338,9 @@ def test_shards_follow_the_words_taken():
         assert shard == sum(x <= at for x in plan.until[1].tolist())
 
 
-def brute_mix(rows, shards, block, seed="mix"):
-    """{row number: {shard: words}} by lists of blocks, word by word; rows are (hash, source, size)
-    and the tree's quotas are drawn anew, position after position."""
+def brute_draws(rows, block, seed="mix"):
+    """{source: [(pass, [(row number, word number), ...]), ...]}, the blocks drawn in their order,
+    from lists of words; rows are (hash, source, size)."""
     sizes = collections.Counter()
     for _, s, n in rows:
         sizes[s] += n
@@ -342,7 +348,7 @@ def brute_mix(rows, shards, block, seed="mix"):
     names = sorted(sizes, key=lambda s: (s is None, s or ""))
     words, draws = {s: [] for s in names}, {}
     for r in sorted(range(len(rows)), key=lambda r: rows[r][0]):
-        words[rows[r][1]] += [r] * rows[r][2]
+        words[rows[r][1]] += [(r, w) for w in range(rows[r][2])]
     for s in names:
         blocks, left, out = [words[s][i : i + block] for i in range(0, len(words[s]), block)], round(goal[s]), []
         for turn in range(3):
@@ -351,16 +357,23 @@ def brute_mix(rows, shards, block, seed="mix"):
             place = mixing.permuted(np.arange(n), np.full(n, n), np.full(n, key, np.uint64)).tolist() if n else []
             for b in sorted(range(n), key=lambda b: place[b]):
                 if left > 0:
-                    out.append(blocks[b][:left])
-                    left -= len(out[-1])
+                    out.append((turn, blocks[b][:left]))
+                    left -= len(out[-1][1])
         draws[s] = out
-    quotas = mixing.split(np.array([len(draws[s]) for s in names]), shards, seed)
+    return draws
+
+
+def brute_mix(rows, shards, block, seed="mix"):
+    """{row number: {shard: words}} by lists of blocks, word by word; the tree's quotas are drawn
+    anew, position after position."""
+    draws = brute_draws(rows, block, seed)
+    quotas = mixing.split(np.array([len(x) for x in draws.values()]), shards, seed)
     taken = collections.defaultdict(collections.Counter)
-    for i, s in enumerate(names):
-        mine = iter(draws[s])
+    for i, drawn in enumerate(draws.values()):
+        mine = iter(drawn)
         for shard in range(shards):
             for _ in range(quotas[shard, i]):
-                for r in next(mine):
+                for r, _ in next(mine)[1]:
                     taken[r][shard] += 1
         assert next(mine, None) is None
     return taken, quotas
@@ -547,3 +560,95 @@ def test_pipeline(spark):
     assert counts[0] >= counts[1] > counts[2] >= counts[3] and seen.where("not round_trip").count() == 0
     run = corpus_pipeline.run(spark, SF)
     assert rows_of(run.columns, [tuple(r) for r in run.collect()]) == rows_of(seen.columns, [tuple(r) for r in seen.collect()])
+
+
+def brute_pipeline(spark, rows, schema):
+    """The pipeline's rows by plain Python over lists of dicts: no stage, no operator of it."""
+    import re
+    import zlib
+
+    from pyspark.sql import functions as F
+    from tokenizers import Tokenizer
+
+    from tests.llm.test_near import brute
+
+    # language: out-of-place ranks of all labelled rows that are not held out
+    learned = collections.defaultdict(collections.Counter)
+    for r in rows:
+        if r["text"] is not None and r["lang"] is not None and (r["doc_id"] is None or zlib.crc32(str(r["doc_id"]).encode()) % 4 != 2):
+            learned[r["lang"]].update(brute_counts(r["text"]))
+    ranks = {name: {k: i for i, k in enumerate(brute_profile(counts, 400))} for name, counts in sorted(learned.items())}
+    known = []
+    for r in rows:
+        mine = brute_profile(r["text"] or "", 400)
+        if mine:
+            far = {name: sum(min(400, abs(own[k] - i)) if k in own else 400 for i, k in enumerate(mine)) for name, own in ranks.items()}
+            known.append(r | {"lang": min(far, key=far.get)})
+    # exact copies: the longest stays, then the smallest id
+    groups = collections.defaultdict(list)
+    for r in known:
+        groups[re.sub(r"[\x20\x09-\x0D]", "", r["text"])].append(r)
+    single = [min(g, key=lambda r: (-len(r["text"]), r["doc_id"])) for g in groups.values()]
+    # near copies: the smallest id of each class, over all pairs
+    lead = brute([(r["doc_id"], r["text"]) for r in single])
+    apart = [r for r in single if lead[r["doc_id"]] == r["doc_id"]]
+    # mix: word by word, in the order of a hash of the row
+    df = spark.createDataFrame([tuple(r.values()) for r in apart], schema)
+    keys = mixing.keys_of([F.col(c) for c in df.columns])
+    hashes = {r["doc_id"]: r["h"] % 2**64 for r in df.select("doc_id", F.xxhash64(F.lit(3), *keys).alias("h")).collect()}
+    edges = [[m.span() for m in re.finditer(r"[^\x20\x09-\x0D]+", r["text"])] for r in apart]
+    draws = brute_draws([(hashes[r["doc_id"]], r["source"], len(e)) for r, e in zip(apart, edges, strict=True)], 4096)
+    taken = collections.defaultdict(set)
+    for drawn in draws.values():
+        for turn, words in drawn:
+            for r, w in words:
+                taken[r, turn].add(w)
+    # ids by the library
+    library, out = Tokenizer.from_file(str(PATH)), []
+    for (r, _), words in taken.items():
+        text = apart[r]["text"]
+        if len(words) < len(edges[r]):
+            starts = sorted(w for w in words if w - 1 not in words)
+            ends = sorted(w for w in words if w + 1 not in words)
+            text = " ".join(text[edges[r][a][0] : edges[r][b][1]] for a, b in zip(starts, ends, strict=True))
+        ids = library.encode(text, add_special_tokens=False).ids
+        out.append((apart[r]["doc_id"], apart[r]["lang"], apart[r]["source"], ids, len(ids), library.decode(ids, skip_special_tokens=False) == text))
+    return [len(known), len(single), len(apart)], out
+
+
+def test_pipeline_equals_brute_force(spark, tmp_path):
+    import corpus_pipeline
+
+    rnd = random.Random(11)
+    letters = {"en": "abcdefghij", "de": "fghijklmnoö", "fr": "lmnopqrsté"}
+    vocabulary = {x: ["".join(rnd.choices(own, k=rnd.randint(2, 8))) for _ in range(700)] for x, own in letters.items()}
+    rows = []
+
+    def add(text, lang, source):
+        n = len(rows)
+        rows.append({"doc_id": n * 7 % 1009, "text": text, "lang": lang, "source": source, "n_chars": n, "rep": 1, "shard": None, "ids": "x"})
+
+    for n in range(90):
+        lang = rnd.choice(list(letters))
+        source = rnd.choice(["hot", "hot", "hot", "b", None, "", "c"])
+        words = rnd.choices(vocabulary[lang], k=rnd.choice([1, 4, 5, 60, 150, 300, 9000 if n == 40 else 80]))
+        add(" ".join(words), rnd.choice([lang, lang, lang, None]), source)
+        if n % 3 == 0:  # an exact copy but for white space
+            add("\n".join(words) + "  " * (n % 2), lang, "b")
+        if n % 4 == 0:  # near copies: a word changed, a paragraph added, another text
+            add(" ".join([*words[:-3], "other", *words[-2:]]), lang, "hot")
+            add(" ".join([*words, *rnd.choices(vocabulary[lang], k=len(words) // 20)]), None, "c")
+            add(" ".join([*words[: len(words) // 2], *rnd.choices(vocabulary[lang], k=len(words) // 2 + 1)]), lang, None)
+    for text in (None, "", " \t", "12 34", "日本語 🙂", "a <|endoftext|> b"):
+        add(text, None, "hot")
+    rows += [rows[3], rows[3]]
+    schema = DOC + ", ids string"
+    spark.createDataFrame([tuple(r.values()) for r in rows], schema).repartition(5).write.parquet(f"{tmp_path}/documents.parquet")
+    counts, want = brute_pipeline(spark, rows, schema)
+    assert len(rows) > counts[0] > counts[1] > counts[2]
+    got = [tuple(r) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()]
+    assert sorted(map(repr, got)) == sorted(map(repr, want))
+    # an empty table gives none
+    spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/none/documents.parquet")
+    empty = corpus_pipeline.run(spark, f"{tmp_path}/none")
+    assert empty.columns == ["doc_id", "lang", "source", "ids", "n_tokens", "round_trip"] and empty.count() == 0
