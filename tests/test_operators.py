@@ -179,6 +179,134 @@ def test_vectors_lists_and_names(spark, tmp_path):
     assert sinks.lexsyn_name(tagger="stan") == "lexsyn_alignment_ngram2_lag1_noDups_withStan.csv"
 
 
+def test_binary_vectors(spark, tmp_path):
+    import gzip
+
+    import numpy as np
+
+    rows = [(f"w{i}é", [float(i), -0.5, i / 4]) for i in range(50)]
+    raw = b"50 3\n" + b"".join(w.encode() + b" " + np.array(v, "<f4").tobytes() + b"\n" for w, v in rows)
+    (tmp_path / "a.bin").write_bytes(raw)
+    (tmp_path / "b.bin.gz").write_bytes(gzip.compress(raw.replace(b"\nw", b"w")[:4] + raw[4:]))
+    for name in ("a.bin", "b.bin.gz"):
+        got = conversations.read_binary_vectors(spark, str(tmp_path / name), batch=7).collect()
+        assert [(r["word"], list(r["vector"])) for r in got] == rows
+    (tmp_path / "c.bin").write_bytes(raw[:-9])
+    with pytest.raises(Exception, match="ends early"):
+        conversations.read_binary_vectors(spark, str(tmp_path / "c.bin")).collect()
+
+
+def test_words_get_the_vector_of_their_rank(spark):
+    from turnwise.operators import embeddings
+
+    counts = [("ab", 3), ("abc", 3), ("a", 3), ("b", 9), ("éa", 1), ("z", 1), ("abd", 3), ("", 1)]
+    order = [w for w, _ in sorted(counts, key=lambda x: (-x[1], x[0].encode()))]
+    for n in (3, 8, 20):
+        vectors = spark.createDataFrame([(i, [float(i)]) for i in range(n)], "vec_id long, embedding array<float>")
+        got = embeddings.ranked_vectors(spark.createDataFrame(counts, "word string, count long").repartition(3), vectors).collect()
+        assert {r["word"]: r["vector"][0] for r in got} == {w: float(i) for i, w in enumerate(order[:n])}
+
+
+def test_half_of_the_pairs(spark):
+    import hashlib
+    from itertools import combinations
+
+    names = [(f"dyad{i}-cond{c}.txt", f"dyad{i}", f"cond{c}") for c, n in ((1, 30), (2, 3), (3, 1), (4, 6)) for i in range(n)]
+    named = spark.createDataFrame(names, "source_file string, dyad string, condition string")
+    want, every = set(), set()
+    for c in ("cond1", "cond2", "cond3", "cond4"):
+        pairs = list(combinations(sorted(f for f, _, k in names if k == c), 2))
+        every |= set(pairs)
+        want |= set(sorted(pairs, key=lambda p: (hashlib.md5("|".join(("5", *p)).encode()).hexdigest(), p))[: -(-len(pairs) // 2)])
+    assert {(r["file1"], r["file2"]) for r in surrogates.file_pairs(named).collect()} == every
+    got = [(r["file1"], r["file2"]) for r in surrogates.file_pairs(named, sample=True, seed=5).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_encodings_are_kept(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from turnwise.operators import embeddings
+
+    path, asked = str(tmp_path / "kept"), []
+    t = frame(spark, ("a", "one two"), ("b", "three"), ("a", "one two"), ("b", None))
+    first = {r["content"]: r["_vector"] for r in embeddings.with_encoding(t, cache=path).collect()}
+    assert first["one two"][4] == 1 and first[None] is None and spark.read.parquet(path).count() == 2
+
+    def other(content):
+        asked.append(content)
+        return F.array(F.lit(7.0))
+
+    more = frame(spark, ("a", "one two"), ("b", "four"))
+    again = {r["content"]: r["_vector"] for r in embeddings.with_encoding(more, other, path).collect()}
+    assert again == {"one two": first["one two"], "four": [7.0]} and spark.read.parquet(path).count() == 3
+    assert pipeline.analyze(more, analyzers="contextual", cache=path).count() == 2
+
+
+def test_states_and_their_mean(spark):
+    from pyspark.sql import functions as F
+
+    from turnwise.operators import embeddings
+
+    encode = embeddings.model_states(lambda: lambda texts: [[[float(i), 1.0] for i in range(len(x))] for x in texts], most=4)
+    df = spark.createDataFrame([("abc",), ("abcdefgh",), (" ",), (None,)], "t string").select("t", encode("t").alias("s"))
+    got = {r["t"]: (r["s"], r["m"]) for r in df.select("t", "s", embeddings.mean_state(F.col("s")).alias("m")).collect()}
+    assert got["abc"] == ([[0, 1], [1, 1], [2, 1]], [1.0, 1.0]) and len(got["abcdefgh"][0]) == 4 and got["abcdefgh"][1] == [1.5, 1.0]
+    assert got[" "] == (None, None) and got[None] == (None, None)
+
+
+def test_columns_of_results(spark):
+    from turnwise.operators import embeddings
+
+    own = pipeline.prepare(frame(spark, ("a", "the dog runs"), ("b", "a cat sat")))
+    out = embeddings.in_static_order(embeddings.static_similarity(own, None))
+    assert not [c for c in out.columns if c.startswith("tagged")]
+    assert out.columns[-4:] == ["static_cosine_similarity", "token_static_cosine_similarity", "lemma_static_cosine_similarity", "master_static_cosine_similarity"]
+    out = embeddings.in_contextual_order(embeddings.contextual_similarity(own, keep_vectors=True))
+    assert out.columns == ["source_file", "participant", "content", "lag", "content1", "content2", "utter_order", "content1_embedding_encoder", "content1_embedding_encoder_dims", "content2_embedding_encoder", "content2_embedding_encoder_dims", "encoder_cosine_similarity"]
+
+
+def test_surrogates_that_are_not_there(spark, tmp_path):
+    with pytest.raises(ValueError, match="no folder"):
+        conversations.read_surrogates(spark, str(tmp_path / "none"))
+    (tmp_path / "a.txt").write_text("participant\tcontent\n")
+    with pytest.raises(ValueError, match="no surrogates"):
+        conversations.read_surrogates(spark, str(tmp_path))
+    (tmp_path / "b.txt").write_text("participant\tcontent\nx\ty\n")
+    assert conversations.read_surrogates(spark, str(tmp_path)).count() == 1
+
+
+def test_settings(tmp_path, monkeypatch):
+    from turnwise.sources import settings as own
+
+    file = str(tmp_path / "new" / "s.json")
+    with pytest.warns(UserWarning):
+        assert own.lookup("token", file=file) is None
+    own.keep("other", "1", file)
+    own.keep("token", "filed", file)
+    assert own.lookup("token", file=file) == "filed" and own.lookup("other", file=file) == "1"
+    monkeypatch.setenv("SOME_TOKEN", "named")
+    assert own.lookup("token", variable="SOME_TOKEN", file=file) == "named" and own.lookup("token", "given", "SOME_TOKEN") == "given"
+
+
+@pytest.mark.parametrize(
+    "text, lemmas, tags",
+    [
+        ("the dogs were running quickly", "the dog be run quickly", "DT NNS VBD VBG RB"),
+        ("she tried boxes and churches", "she try box and church", "PRP VBD NNS CC NNS"),
+        ("my nicest wolves can not agree", "my nic wolf can not agree", "PRP$ JJS NNS MD RB NN"),
+        ("to be famous is useful oh", "to be famous be useful oh", "TO VB JJ VBZ JJ UH"),
+        ("this thing has stopped as women sang", "this thing have stop as woman sang", "DT VBG VBZ VBD IN NN NN"),
+        ("does this need planning", "do this need plan", "VBZ DT VBP VBG"),
+    ],
+)
+def test_rules_of_words(spark, text, lemmas, tags):
+    from turnwise.functions import morphology
+
+    assert one(spark, lambda c: morphology.rule_tags(tokens.words(c)), text) == tags.split()
+    assert one(spark, lambda c: morphology.rule_lemmas(tokens.words(c)), text) == lemmas.split()
+
+
 def test_options():
     with pytest.raises(ValueError):
         pipeline.PrepareOptions(filler_mode="x")

@@ -20,7 +20,7 @@ LEXICON = {
     "CC": "and or but nor yet so".split(),
     "MD": "can could will would shall should may might must".split(),
     "VBZ": "is has does".split(),
-    "VBP": "am are have do".split(),
+    "VBP": "am are have do need".split(),
     "VBD": "was were had did".split(),
     "VB": ["be"],
     "VBN": "been done gone".split(),
@@ -33,18 +33,51 @@ LEXICON = {
     "UH": "oh yes yeah hello hi okay".split(),
 }
 #: Endings by tag, the first that fits; the word must be longer by two letters.
-ENDINGS = (("ly", "RB"), ("ing", "VBG"), ("ed", "VBD"), ("est", "JJS"), ("ous", "JJ"), ("ful", "JJ"), ("ive", "JJ"), ("able", "JJ"), ("ible", "JJ"), ("al", "JJ"), ("ss", "NN"), ("s", "NNS"))
-#: Detachments (ending, what takes its place) by word class, the first that fits.
+ENDINGS = (("ly", "RB"), ("ing", "VBG"), ("eed", "NN"), ("ed", "VBD"), ("est", "JJS"), ("ous", "JJ"), ("ful", "JJ"), ("ive", "JJ"), ("able", "JJ"), ("ible", "JJ"), ("al", "JJ"), ("ss", "NN"), ("s", "NNS"))
+#: Lemmas of irregular forms.
+IRREGULAR = {
+    "be": "am are is was were been being".split(),
+    "have": "has had having".split(),
+    "do": "does did done doing".split(),
+    "go": "went gone goes".split(),
+    "say": ["said"],
+    "make": "made making".split(),
+    "get": "got gotten".split(),
+    "take": "took taken taking".split(),
+    "come": "came coming".split(),
+    "give": "gave given giving".split(),
+    "know": "knew known".split(),
+    "think": ["thought"],
+    "man": ["men"],
+    "child": ["children"],
+    "foot": ["feet"],
+    "tooth": ["teeth"],
+    "mouse": ["mice"],
+}
+#: Closed-class words; they are lemmas unless they are irregular forms.
+CLOSED = sorted({w for own in LEXICON.values() for w in own})
+#: Detachments (ending, what takes its place) by word class, the first that fits.  A word is longer
+#: than the ending by three letters or more, by two where the ending is in SHORT.
+_DOUBLED = tuple((2 * c + end, c) for c in "bgmnprt" for end in ("ed", "ing"))
+SHORT = {"xes", "ies", "ied", "men", *(end for end, _ in _DOUBLED)}
 DETACH = {
     "n": (("sses", "ss"), ("ches", "ch"), ("shes", "sh"), ("xes", "x"), ("zes", "z"), ("ies", "y"), ("ves", "f"), ("men", "man"), ("ss", "ss"), ("s", "")),
-    "v": (("ies", "y"), ("sses", "ss"), ("ss", "ss"), ("s", ""), ("ied", "y"), ("eed", "eed"), ("ed", ""), ("ing", "")),
+    "v": (("ies", "y"), ("sses", "ss"), ("ss", "ss"), ("s", ""), ("ied", "y"), *_DOUBLED, ("ed", ""), ("ing", "")),
     "a": (("iest", "y"), ("ier", "y"), ("est", ""), ("er", "")),
     "r": (),
 }
 
 
+def least_length(end: str) -> int:
+    return len(end) + (2 if end in SHORT else 3)
+
+
+def _listed(words: Sequence[str]) -> str:
+    return ", ".join("'" + w.replace("'", "''") + "'" for w in words)
+
+
 def tag_sql(w: str = "w") -> str:
-    known = " ".join(f"when {w} in ({', '.join(repr(x) if chr(39) not in x else chr(39) + x.replace(chr(39), chr(39) * 2) + chr(39) for x in own)}) then '{tag}'" for tag, own in LEXICON.items())
+    known = " ".join(f"when {w} in ({_listed(own)}) then '{tag}'" for tag, own in LEXICON.items())
     ends = " ".join(f"when {w} like '%{end}' and length({w}) > {len(end) + 1} then '{tag}'" for end, tag in ENDINGS)
     return f"case {known} {ends} else 'NN' end"
 
@@ -55,10 +88,10 @@ def class_sql(tag: str) -> str:
 
 
 def lemma_sql(w: str = "w") -> str:
-    cases = []
+    cases = [f"when {w} in ({_listed(own)}) then '{lemma}'" for lemma, own in IRREGULAR.items()] + [f"when {w} in ({_listed(CLOSED)}) then {w}"]
     for kind, rules in DETACH.items():
         if rules:
-            inner = " ".join(f"when {w} like '%{end}' and length({w}) > {len(end) + 2} then concat(substr({w}, 1, length({w}) - {len(end)}), '{to}')" for end, to in rules)
+            inner = " ".join(f"when {w} like '%{end}' and length({w}) >= {least_length(end)} then concat(substr({w}, 1, length({w}) - {len(end)}), '{to}')" for end, to in rules)
             cases.append(f"when ({class_sql(tag_sql(w))}) = '{kind}' then case {inner} else {w} end")
     return f"case {' '.join(cases)} else {w} end"
 
@@ -100,16 +133,19 @@ def word_class(tag: Column) -> Column:
 
 def _lemma(w: Column, kind: Column) -> Column:
     out = None
+    for lemma, own in IRREGULAR.items():
+        out = F.when(w.isin(*own), lemma) if out is None else out.when(w.isin(*own), lemma)
+    out = out.when(w.isin(*CLOSED), w)
     for name, rules in DETACH.items():
         if not rules:
             continue
         inner = None
         for end, to in rules:
-            hit = w.endswith(end) & (F.length(w) > len(end) + 2)
+            hit = w.endswith(end) & (F.length(w) >= least_length(end))
             cut = F.concat(F.substring(w, F.lit(1), F.length(w) - len(end)), F.lit(to))
             inner = F.when(hit, cut) if inner is None else inner.when(hit, cut)
         inner = inner.otherwise(w)
-        out = F.when(kind == name, inner) if out is None else out.when(kind == name, inner)
+        out = out.when(kind == name, inner)
     return out.otherwise(w)
 
 

@@ -7,16 +7,26 @@ from collections.abc import Callable, Iterator, Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.utils import AnalysisException
 
 from turnwise.functions.similarity import dense_cosine, present_mean
 from turnwise.operators.turns import lag_pairs
 
 
-def ranked_vectors(counts: DataFrame, embeddings: DataFrame, dims: int = 64) -> DataFrame:
-    """(word, vector): the word of rank r, by count and then by code point, has vector r - 1."""
-    n = embeddings.count()
-    top = counts.orderBy(F.desc("count"), "word").limit(n)  # no more words than there are vectors
-    ranked = top.withColumn("vec_id", (F.row_number().over(Window.orderBy(F.desc("count"), "word")) - 1).cast("long"))
+def ranked_vectors(counts: DataFrame, embeddings: DataFrame) -> DataFrame:
+    """(word, vector): the word of rank r, by count and then by code point, has vector r - 1.
+
+    Words are numbered among those of one count and the same first letters; where these groups begin
+    is summed up by group, then by count.  So no task orders all words: the one window without a
+    partition has a row for each count that occurs."""
+    own = counts.withColumn("_head", F.substring("word", 1, 2))
+    heads = own.groupBy("count", "_head").agg(F.count("*").alias("_n"))
+    before = lambda w: F.coalesce(F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    levels = heads.groupBy("count").agg(F.sum("_n").alias("_n")).select("count", before(Window.orderBy(F.desc("count"))).alias("_level"))
+    heads = heads.select("count", "_head", before(Window.partitionBy("count").orderBy("_head")).alias("_start"))
+    number = F.row_number().over(Window.partitionBy("count", "_head").orderBy("word")) - 1
+    placed = own.withColumn("_number", number).join(heads, ["count", "_head"]).join(levels, "count")
+    ranked = placed.select("word", (F.col("_level") + F.col("_start") + F.col("_number")).alias("vec_id"))
     return ranked.join(embeddings, "vec_id").select("word", F.col("embedding").alias("vector"))
 
 
@@ -96,9 +106,51 @@ def model_encoder(load: Callable[[], Callable[[Sequence[str]], Sequence[Sequence
     return encode
 
 
-def with_encoding(turns: DataFrame, encoder: Callable[[Column], Column] = letter_counts) -> DataFrame:
-    """turns with _vector, the encoding of the content.  Each distinct content is encoded once."""
-    texts = turns.select("content").where("content is not null").distinct().withColumn("_vector", encoder(F.col("content")))
+def model_states(load: Callable[[], Callable[[Sequence[str]], Sequence[Sequence[Sequence[float]]]]], most: int = 512) -> Callable[[Column], Column]:
+    """An encoder column of raw states, a vector for each of the first `most` positions of a text;
+    load() and blank texts are as in model_encoder()."""
+
+    @F.pandas_udf("array<array<float>>")
+    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        model = load()
+        for texts in batches:
+            some = texts[texts.notna() & (texts.str.strip() != "")]
+            found = pd.Series([None] * len(texts), index=texts.index, dtype=object)
+            if len(some):
+                for at, states in zip(some.index, model(some.tolist()), strict=True):
+                    found[at] = [[float(x) for x in state] for state in states[:most]]
+            yield found
+
+    return encode
+
+
+def mean_state(states: Column) -> Column:
+    """The mean of a text's states over all positions; null if there are none."""
+    wide = F.transform(states, lambda state: F.transform(state, lambda x: x.cast("double")))
+    total = F.aggregate(F.slice(wide, F.lit(2), F.greatest(F.size(wide) - 1, F.lit(0))), F.get(wide, F.lit(0)), lambda a, b: F.zip_with(a, b, lambda x, y: x + y))
+    return F.transform(total, lambda x: x / F.size(wide))
+
+
+def cached_encoding(texts: DataFrame, encoder: Callable[[Column], Column], path: str) -> DataFrame:
+    """(content, _vector) of distinct contents, kept in a Parquet table at path: contents that it
+    holds are not encoded again, others are encoded and appended to it now."""
+    spark = texts.sparkSession
+    try:
+        known = spark.read.parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        known = None
+    new = texts if known is None else texts.join(known, "content", "left_anti")
+    new.withColumn("_vector", encoder(F.col("content"))).write.mode("append").parquet(path)
+    return spark.read.parquet(path).join(texts, "content", "left_semi")
+
+
+def with_encoding(turns: DataFrame, encoder: Callable[[Column], Column] = letter_counts, cache: str | None = None) -> DataFrame:
+    """turns with _vector, the encoding of the content.  Each distinct content is encoded once; with
+    a cache, the path of a Parquet table, once for all runs that share it."""
+    texts = turns.select("content").where("content is not null").distinct()
+    texts = texts.withColumn("_vector", encoder(F.col("content"))) if cache is None else cached_encoding(texts, encoder, cache)
     return turns.join(texts, "content", "left")
 
 
@@ -117,3 +169,17 @@ def contextual_similarity(turns: DataFrame, encoder: Callable[[Column], Column]
     """Cosine of the encodings of contents `lag` turns apart; a vector is joined to its turn and
     paired, so no turn is encoded as both sides."""
     return contextual_metrics(lag_pairs(with_encoding(turns, encoder), ["content", "_vector"], lag), model, keep_vectors)
+
+
+def in_static_order(pairs: DataFrame) -> DataFrame:
+    """static_similarity()'s columns as results have them: without tags, the cosines last."""
+    kept = [c for c in pairs.columns if not c.startswith("tagged_")]
+    scores = [c for c in kept if c.endswith("_cosine_similarity")]
+    return pairs.select(*[c for c in kept if c not in scores], *scores)
+
+
+def in_contextual_order(pairs: DataFrame, model: str = "encoder") -> DataFrame:
+    """The columns of contextual_similarity() that results have, in their order; others go."""
+    sides = [f"content{s}_embedding_{model}{x}" for s in "12" for x in ("", "_dims")]
+    names = ["source_file", "participant", "content", "lag", "content1", "content2", "utter_order", *sides, f"{model}_cosine_similarity"]
+    return pairs.select(*[c for c in names if c in pairs.columns])

@@ -38,7 +38,8 @@ class PrepareOptions:
 
 @dataclass(frozen=True)
 class AnalyzeOptions:
-    """What is measured.  analyzers: some of lexsyn, static, contextual, or "all"."""
+    """What is measured.  analyzers: some of lexsyn, static, contextual, or "all"; cache: where
+    encodings are kept."""
 
     analyzers: str | Sequence[str] = ("lexsyn",)
     lag: int = 1
@@ -52,6 +53,7 @@ class AnalyzeOptions:
     filter_vocabulary: bool = False
     encoder: Callable = embeddings.letter_counts
     model: str = "encoder"
+    cache: str | None = None
 
     def chosen(self) -> list[str]:
         names = [self.analyzers] if isinstance(self.analyzers, str) else list(self.analyzers)
@@ -92,7 +94,7 @@ def analyze(prepared: DataFrame, options: AnalyzeOptions | None = None, **change
         own = embeddings.with_static(own, o.vectors, o.dims, known)
         paired += [f"{c}_embedding" for c in embeddings.STATIC]
     if "contextual" in chosen:
-        own = embeddings.with_encoding(own, o.encoder)
+        own = embeddings.with_encoding(own, o.encoder, o.cache)
         paired.append("_vector")
     if "lexsyn" in chosen:
         own = alignment.with_grams(own, o.max_ngram, o.taggers)

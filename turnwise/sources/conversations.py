@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import gzip
+import io
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.utils import AnalysisException
 
 REQUIRED = ("participant", "content")
 
@@ -74,6 +79,59 @@ def read_vectors(spark: SparkSession, path: str) -> DataFrame:
     return lines.select(F.col("p")[0].alias("word"), F.transform(F.slice("p", 2, 1 << 30), lambda x: x.cast("float")).alias("vector"))
 
 
+def read_binary_vectors(spark: SparkSession, path: str, batch: int = 4096) -> DataFrame:
+    """(word, vector) of binary files of word vectors, packed by gzip or not: a line of two numbers,
+    then each word, a space and its 32-bit floats.  Words have no fixed length, so a file is one
+    task's, and at most 2 GB on disk."""
+
+    def run(batches):
+        for files in batches:
+            for content in files.column(0):
+                raw = io.BytesIO(content.as_buffer())
+                raw = gzip.GzipFile(fileobj=raw) if raw.read(2) == b"\x1f\x8b" and not raw.seek(0) else raw
+                raw.seek(0)
+                source = io.BufferedReader(raw, 1 << 20)
+                many, dims = map(int, source.readline().split())
+                words, vectors = [], []
+                for _ in range(many):
+                    word = bytearray()
+                    while (c := source.read(1)) != b" ":
+                        if not c:
+                            raise ValueError("a file of word vectors ends early")
+                        word += c
+                    vector = source.read(4 * dims)
+                    if len(vector) < 4 * dims:
+                        raise ValueError("a file of word vectors ends early")
+                    words.append(word.lstrip(b"\n").decode("utf-8", "replace"))
+                    vectors.append(np.frombuffer(vector, "<f4"))
+                    if len(words) == batch:
+                        yield _vectors(words, vectors)
+                        words, vectors = [], []
+                if words:
+                    yield _vectors(words, vectors)
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, "word string, vector array<float>")
+
+
+def _vectors(words: list[str], vectors: list) -> pa.RecordBatch:
+    flat, dims = np.concatenate(vectors), len(vectors[0])
+    ends = np.arange(len(vectors) + 1, dtype=np.int32) * dims
+    return pa.RecordBatch.from_arrays([pa.array(words), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, pa.float32()))], names=["word", "vector"])
+
+
+def read_surrogates(spark: SparkSession, paths: str | Sequence[str], **options) -> DataFrame:
+    """read_tsv() of surrogates that were written before; raises if there are none."""
+    try:
+        made = read_tsv(spark, paths, **options)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        raise ValueError(f"there is no folder of surrogates at {paths}") from error
+    if made.isEmpty():
+        raise ValueError(f"there are no surrogates in {paths}")
+    return made
+
+
 def list_of_words(text: Column) -> Column:
     """A list that was written as text (['a', "b's"]) as an array; empty if it is none."""
     found = F.regexp_extract_all(text, F.lit(r"""'((?:[^'\\]|\\.)*)'|"((?:[^"\\]|\\.)*)\""""), F.lit(0))
