@@ -324,3 +324,30 @@ def test_entry_without_the_optional_folder(monkeypatch):
         monkeypatch.delitem(sys.modules, name)
     monkeypatch.setitem(sys.modules, "turnwise.llm", None)
     assert "lexsyn_master" in e.queries() and not any(k.startswith("op") for k in e.queries())
+
+
+def test_no_row_of_a_pair_is_moved(spark, monkeypatch):
+    names = [f"dyad{i}-cond{i % 2}.txt" for i in range(24)]
+    rows = [(f, t, "ab"[t % 2], f"{f}{t}") for i, f in enumerate(names) for t in range(2 + i % 5)]
+    t = spark.createDataFrame([*rows, ("dyad99-cond0.txt", 0, None, "x")], "source_file string, turn long, participant string, content string")
+    found = []
+    for block in (512, 3):
+        monkeypatch.setattr(surrogates, "BLOCK", block, raising=False)
+        for order in (True, False):
+            made = surrogates.surrogates(t, keep_order=order, all_pairs=order, seed=3)
+            above = made._jdf.queryExecution().executedPlan().toString().partition("Join")[0]
+            assert "Exchange" not in above.replace("Exchange hashpartitioning(condition", "") and "_name" not in "".join(x for x in above.splitlines() if "Window" in x)
+            found.append(sorted(tuple(r) for r in made.collect()))
+        # a condition is dealt out over many tasks, though its files are few bytes
+        assert block == 512 or surrogates.met(surrogates.files(t)).rdd.getNumPartitions() >= 30
+    assert found[0] == found[2] and found[1] == found[3]
+    turns_of = {}
+    for r in found[0]:
+        turns_of.setdefault(r[0], []).append(r[1])
+    assert len(turns_of) == 2 * 2 * 66 and all(sorted(v) == list(range(len(v))) for v in turns_of.values())
+
+
+def test_surrogates_of_one_name_keep_their_turns_apart(spark):
+    rows = [(f, t, "ab"[t % 2], f"{f}{t}") for f in ("dyad1-cond1-x.txt", "dyad1-cond1-y.txt", "dyad2-cond1.txt") for t in range(4)]
+    made = surrogates.surrogates(spark.createDataFrame(rows, "source_file string, turn long, participant string, content string")).collect()
+    assert len(made) == 3 * 2 * 8 and len({(r["source_file"], r["turn"]) for r in made}) == len(made)
