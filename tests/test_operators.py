@@ -351,3 +351,21 @@ def test_surrogates_of_one_name_keep_their_turns_apart(spark):
     rows = [(f, t, "ab"[t % 2], f"{f}{t}") for f in ("dyad1-cond1-x.txt", "dyad1-cond1-y.txt", "dyad2-cond1.txt") for t in range(4)]
     made = surrogates.surrogates(spark.createDataFrame(rows, "source_file string, turn long, participant string, content string")).collect()
     assert len(made) == 3 * 2 * 8 and len({(r["source_file"], r["turn"]) for r in made}) == len(made)
+
+
+def test_lexical_scores_of_surrogates_that_are_not_made(spark, monkeypatch):
+    import random
+
+    from turnwise.operators import chance
+
+    monkeypatch.setattr(surrogates, "BLOCK", 3, raising=False)
+    monkeypatch.setattr(chance, "SPARSE", 5)
+    draw = random.Random(5)
+    rows = [(f"dyad{i}-cond{i % 2}.txt", t, draw.choice("abc"), " ".join(draw.choices(["the", "dogs", "ran", "cats", "sat", "on", "it's"], k=draw.randint(0, 6)))) for i in range(13) for t in range(draw.randint(1, 9))]
+    own = pipeline.prepare(spark.createDataFrame(rows, "source_file string, turn long, participant string, content string"), min_words=0)
+    for n, lag in ((2, 1), (1, 3)):
+        made = pipeline.lexical_baseline(own, max_ngram=n, lag=lag)
+        assert "_name" not in made._jdf.queryExecution().executedPlan().toString()
+        wanted = pipeline.baseline(own, max_ngram=n, lag=lag).select(*made.columns)
+        got, want = ({(r[0], r[1]): tuple(r)[2:] for r in x.collect()} for x in (made, wanted))
+        assert len(got) > 200 and got == want
