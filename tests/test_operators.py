@@ -369,3 +369,13 @@ def test_lexical_scores_of_surrogates_that_are_not_made(spark, monkeypatch):
         wanted = pipeline.baseline(own, max_ngram=n, lag=lag).select(*made.columns)
         got, want = ({(r[0], r[1]): tuple(r)[2:] for r in x.collect()} for x in (made, wanted))
         assert len(got) > 200 and got == want
+
+
+def test_two_edits_only_where_one_finds_nothing(spark):
+    from turnwise.operators import spelling
+
+    model = spark.createDataFrame([("stone", 2), ("store", 9), ("tsoen", 50), ("abcd", 3)], "word string, n long")
+    words = spark.createDataFrame([("stonx",), ("tsone",), ("bdac",), ("badc",), ("xxbcd",), ("stone",)], "word string")
+    made = spelling.corrections(words, model)
+    assert dict(made.collect()) == {"stonx": "stone", "tsone": "tsoen", "bdac": "bdac", "badc": "abcd", "xxbcd": "abcd", "stone": "stone"}
+    assert made._jdf.queryExecution().optimizedPlan().toString().count("LeftAnti") == 1

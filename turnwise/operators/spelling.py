@@ -35,7 +35,10 @@ def _one_edit(a: Column, b: Column) -> Column:
 
 def _two_edits(a: Column, b: Column) -> Column:
     swapped = F.exists(_swaps(a), lambda w: F.levenshtein(w, b) <= 1) | F.exists(_swaps(b), lambda w: F.levenshtein(a, w) <= 1)
-    return (F.levenshtein(a, b) <= 2) | swapped | F.arrays_overlap(_swaps(a), _swaps(b))
+    # a swap changes no letter, so with one the sorted letters are at most one edit of the word apart
+    letters = lambda w: F.array_join(F.array_sort(F.split(w, "")), "")
+    alike = F.levenshtein(letters(a), letters(b), 2) >= 0
+    return (F.levenshtein(a, b, 2) >= 0) | (alike & (swapped | F.arrays_overlap(_swaps(a), _swaps(b))))
 
 
 def corrections(words: DataFrame, model: DataFrame, edits: int = 2) -> DataFrame:
@@ -45,18 +48,28 @@ def corrections(words: DataFrame, model: DataFrame, edits: int = 2) -> DataFrame
     words = words.select("word").where("word is not null").distinct()
     words = words.join(model.select("word", F.lit(True).alias("known")), "word", "left")
     words = words.select("word", (F.coalesce("known", F.lit(False)) | F.col("word").contains("'")).alias("fixed"))
-    # one join on deletions finds what is one and what is two edits away
-    lost = words.where("not fixed").select("word", F.explode(_deletions(F.col("word"), edits)).alias("cut"))
-    known = model.select(F.col("word").alias("known"), "n", F.explode(_deletions(F.col("word"), edits)).alias("cut"))
-    met = lost.join(known, "cut").select("word", "known", "n").distinct()
-    away = F.when(_one_edit(F.col("word"), F.col("known")), 1)
+    lost = words.where("not fixed").select("word")
+    best = _nearest(lost, model, 1)
     if edits > 1:
-        away = away.when(_two_edits(F.col("word"), F.col("known")), 2)
-    met = met.withColumn("away", away).where("away is not null")
-    best = met.groupBy("word").agg(F.min_by("known", F.struct("away", (-F.col("n")).alias("m"), "known")).alias("near"))
+        # lists of two deletions are long, so only words with nothing one edit away get them
+        best = best.unionByName(_nearest(lost.join(best.select("word"), "word", "left_anti"), model, 2))
     return words.join(best, "word", "left").select("word", F.coalesce("near", "word").alias("corrected"))
 
 
+def _nearest(lost: DataFrame, model: DataFrame, edits: int) -> DataFrame:
+    """(word, near): the most frequent known word at most `edits` away (ties: the first by code point)
+    of the words that have one; for two edits, words with one a single edit away must be left out.
+    What both sides can be cut down to is joined; words are few bytes and many cuts, so they are dealt
+    out by number, not by size."""
+    tasks = int(model.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    lost, model = lost.repartition(tasks, "word"), model.repartition(tasks, "word")
+    cut = lost.select("word", F.explode(_deletions(F.col("word"), edits)).alias("cut"))
+    known = model.select(F.col("word").alias("known"), "n", F.explode(_deletions(F.col("word"), edits)).alias("cut"))
+    met = cut.join(known, "cut").select("word", "known", "n").distinct()
+    near = met.where((_one_edit if edits == 1 else _two_edits)(F.col("word"), F.col("known")))
+    return near.groupBy("word").agg(F.min_by("known", F.struct((-F.col("n")).alias("m"), "known")).alias("near"))
+
+
 def corrected_tokens(turns: DataFrame, model: DataFrame, edits: int = 2) -> DataFrame:
     """turns with each token corrected; distinct tokens are corrected once and joined back."""
     exploded = turns.select("source_file", "turn", F.posexplode("token").alias("_at", "word"))
