@@ -379,3 +379,19 @@ def test_two_edits_only_where_one_finds_nothing(spark):
     made = spelling.corrections(words, model)
     assert dict(made.collect()) == {"stonx": "stone", "tsone": "tsoen", "bdac": "bdac", "badc": "abcd", "xxbcd": "abcd", "stone": "stone"}
     assert made._jdf.queryExecution().optimizedPlan().toString().count("LeftAnti") == 1
+
+
+def test_encodings_come_to_turns_that_stay(spark):
+    from pyspark.sql import functions as F
+
+    from turnwise.operators import embeddings
+
+    t = turns.dealt(frame(spark, ("a", "one two"), ("b", "three"), ("a", "one two"), ("b", None)).withColumn("heavy", F.lit("x")))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = embeddings.with_encoding(t)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert not [x for x in plan.splitlines() if "hashpartitioning(content" in x and "heavy" in x]
+    left = plan[plan.index("SortMergeJoin [source_file") :].splitlines()[1:4]
+    assert "REPARTITION_BY_NUM" in "".join(left) and "ENSURE_REQUIREMENTS" not in "".join(left)

@@ -148,10 +148,12 @@ def cached_encoding(texts: DataFrame, encoder: Callable[[Column], Column], path:
 
 def with_encoding(turns: DataFrame, encoder: Callable[[Column], Column] = letter_counts, cache: str | None = None) -> DataFrame:
     """turns with _vector, the encoding of the content.  Each distinct content is encoded once; with
-    a cache, the path of a Parquet table, once for all runs that share it."""
+    a cache, the path of a Parquet table, once for all runs that share it.  Contents alone meet their
+    encodings, which then go to their turns; what else a turn holds is not moved."""
     texts = turns.select("content").where("content is not null").distinct()
     texts = texts.withColumn("_vector", encoder(F.col("content"))) if cache is None else cached_encoding(texts, encoder, cache)
-    return turns.join(texts, "content", "left")
+    found = turns.select("source_file", "turn", "content").join(texts, "content").select("source_file", "turn", "_vector")
+    return turns.join(found, ["source_file", "turn"], "left")
 
 
 def contextual_metrics(pairs: DataFrame, model: str = "encoder", keep_vectors: bool = False) -> DataFrame:

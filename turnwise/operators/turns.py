@@ -20,7 +20,9 @@ def in_order():
 def dealt(turns: DataFrame) -> DataFrame:
     """turns dealt out by conversation, once: all windows and aggregates that follow keep to it.  The
     number of partitions is set, since the work for a byte of text is far above what its size
-    makes the engine expect."""
+    makes the engine expect.  Joins by source_file and turn keep to it, too, which is a setting of the
+    session, as plans run after they are built: then only the other side is moved."""
+    turns.sparkSession.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
     return turns.repartition(int(turns.sparkSession.conf.get("spark.sql.shuffle.partitions")), "source_file")
 
 
