@@ -395,3 +395,24 @@ def test_encodings_come_to_turns_that_stay(spark):
     assert not [x for x in plan.splitlines() if "hashpartitioning(content" in x and "heavy" in x]
     left = plan[plan.index("SortMergeJoin [source_file") :].splitlines()[1:4]
     assert "REPARTITION_BY_NUM" in "".join(left) and "ENSURE_REQUIREMENTS" not in "".join(left)
+
+
+def test_turns_are_pooled_in_as_many_places_as_the_input_is_large(spark, tmp_path, monkeypatch):
+    from turnwise.operators import embeddings
+
+    rows = [(f"f{i % 7}", i // 7, "ab"[i // 7 % 2], " ".join(("one two", "two three three", "none")[(i + j) % 3] for j in range(i % 4))) for i in range(70)]
+    spark.createDataFrame(rows, "source_file string, turn long, participant string, content string").write.parquet(str(tmp_path / "t"))
+    vectors = {"one": [1.0, 0.0], "two": [0.0, 2.0], "three": [4.0, 4.0]}
+    known = spark.createDataFrame(list(vectors.items()), "word string, vector array<double>")
+    monkeypatch.setattr(turns, "PART_BYTES", 40, raising=False)
+    own = turns.tokenize(turns.dealt(spark.read.parquet(str(tmp_path / "t"))))
+    assert own.rdd.getNumPartitions() > 20  # 8 are set
+    pooled = embeddings.mean_pooled(own, known, {"v": "token", "w": embeddings.content_tokens(own["content"])}, 2)
+    plan = pooled._jdf.queryExecution().executedPlan().toString()
+    assert not [x for x in plan.splitlines() if "Exchange" in x and "hashpartitioning(source_file" in x and "turn" in x]  # no sums of parts of a turn
+    found = {(r["source_file"], r["turn"]): (r["v"], r["w"]) for r in pooled.collect()}
+    assert len(found) == 70
+    for f, t, _, content in rows:
+        some = [vectors[w] for w in content.split() if w in vectors]
+        mean = [sum(x) / len(some) for x in zip(*some, strict=True)] if some else None
+        assert found[f, t] == (mean and pytest.approx(mean), mean and pytest.approx(mean))

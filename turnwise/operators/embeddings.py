@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from turnwise.functions.similarity import dense_cosine, present_mean
-from turnwise.operators.turns import lag_pairs
+from turnwise.operators.turns import lag_pairs, parts
 
 
 def ranked_vectors(counts: DataFrame, embeddings: DataFrame) -> DataFrame:
@@ -36,20 +36,33 @@ def content_tokens(content: Column) -> Column:
 
 def mean_pooled(turns: DataFrame, vectors: DataFrame, columns: dict[str, str | Column], dims: int) -> DataFrame:
     """turns with a mean vector for each of the columns (name of the vector: token column), repeats
-    counted; null if no token is known.  All columns go through one explode, one join and one
-    aggregate: tokens are counted before they meet the vectors, and each dimension is a plain sum."""
+    counted; null if no token is known.
+
+    Tokens are counted by turn, and conversations dealt out in blocks, the more the larger the input; each
+    block gets the vectors of its words once.  So a turn is summed up in one place, with no partial sums
+    for each of its words, and what a task holds does not grow with the input."""
     names = list(columns)
+    turns.sparkSession.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
+    blocks = parts(turns)
 
     def marked(i: int, c: str | Column) -> Column:
         found = F.transform(c if isinstance(c, Column) else F.col(c), lambda w: F.struct(F.lit(i).alias("which"), w.alias("word")))
         return F.coalesce(found, F.array().cast("array<struct<which:int,word:string>>"))
 
     lists = [marked(i, c) for i, c in enumerate(columns.values())]
-    tokens = turns.select("source_file", "turn", F.explode(F.concat(*lists)).alias("_x")).groupBy("source_file", "turn", F.col("_x.which").alias("_which"), F.col("_x.word").alias("word")).agg(F.count("*").alias("_n"))
+    items = turns.select("source_file", "turn", F.explode(F.concat(*lists)).alias("_x")).select("source_file", "turn", F.col("_x.which").alias("_which"), F.col("_x.word").alias("word"))
+    counts = items.groupBy("source_file", "turn", "word").agg(*[F.count(F.when(F.col("_which") == i, True)).alias(f"_n{i}") for i in range(len(names))])
+    block = F.pmod(F.hash("source_file"), F.lit(blocks))
+    tokens = counts.where("word is not null").withColumn("_block", block).repartition(blocks, "_block")
+    words = items.where("word is not null").select(block.alias("_block"), "word").distinct()
+    near = words.join(vectors, "word").repartition(blocks, "_block")
+    known = tokens.join(near.hint("merge"), ["_block", "word"])
     sums = [F.sum(F.col("vector")[i].cast("double") * F.col("_n")).alias(f"_s{i}") for i in range(dims)]
-    pooled = tokens.join(vectors, "word").groupBy("source_file", "turn", "_which").agg(F.sum("_n").alias("_all"), *sums)
-    pooled = pooled.select("source_file", "turn", "_which", F.array(*[F.col(f"_s{i}") / F.col("_all") for i in range(dims)]).alias("_mean"))
-    wide = pooled.groupBy("source_file", "turn").agg(*[F.max(F.when(F.col("_which") == i, F.col("_mean"))).alias(n) for i, n in enumerate(names)])
+    each = F.explode(F.filter(F.array(*[F.struct(F.lit(i).alias("which"), F.col(f"_n{i}").alias("n")) for i in range(len(names))]), lambda x: x["n"] > 0)).alias("_x")
+    known = known.select("_block", "source_file", "turn", "vector", each).select("_block", "source_file", "turn", F.col("_x.which").alias("_which"), F.col("_x.n").alias("_n"), "vector")
+    pooled = known.groupBy("_block", "source_file", "turn", "_which").agg(F.sum("_n").alias("_all"), *sums)
+    pooled = pooled.select("_block", "source_file", "turn", "_which", F.array(*[F.col(f"_s{i}") / F.col("_all") for i in range(dims)]).alias("_mean"))
+    wide = pooled.groupBy("_block", "source_file", "turn").agg(*[F.max(F.when(F.col("_which") == i, F.col("_mean"))).alias(n) for i, n in enumerate(names)]).drop("_block")
     return turns.join(wide, ["source_file", "turn"], "left")
 
 

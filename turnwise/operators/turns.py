@@ -17,13 +17,26 @@ def in_order():
     return Window.partitionBy("source_file").orderBy("turn")
 
 
+#: Bytes of input, as it is stored, to a partition at most, and partitions at most.
+PART_BYTES, PARTS = 2**20, 2**15
+
+
+def parts(turns: DataFrame) -> int:
+    """Into how many partitions turns are dealt: the number set for the session, or more if the files
+    they come from are large, so that what a task holds does not grow with the input."""
+    leaves = turns._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size())]
+    known = sum(n for n in sizes if n < 2**60)  # a leaf of unknown size is said to be as large as can be
+    return max(int(turns.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(-(-known // PART_BYTES), PARTS))
+
+
 def dealt(turns: DataFrame) -> DataFrame:
     """turns dealt out by conversation, once: all windows and aggregates that follow keep to it.  The
     number of partitions is set, since the work for a byte of text is far above what its size
     makes the engine expect.  Joins by source_file and turn keep to it, too, which is a setting of the
     session, as plans run after they are built: then only the other side is moved."""
     turns.sparkSession.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
-    return turns.repartition(int(turns.sparkSession.conf.get("spark.sql.shuffle.partitions")), "source_file")
+    return turns.repartition(parts(turns), "source_file")
 
 
 def clean(turns: DataFrame, mode: str = "regex", fillers: Sequence[str] = (), min_words: int = 2) -> DataFrame:
