@@ -416,3 +416,39 @@ def test_turns_are_pooled_in_as_many_places_as_the_input_is_large(spark, tmp_pat
         some = [vectors[w] for w in content.split() if w in vectors]
         mean = [sum(x) / len(some) for x in zip(*some, strict=True)] if some else None
         assert found[f, t] == (mean and pytest.approx(mean), mean and pytest.approx(mean))
+
+
+def test_scores_of_a_batch_are_those_of_columns(spark, monkeypatch):
+    import random
+
+    from pyspark.sql import functions as F
+
+    from turnwise.functions import bags, similarity
+
+    random.seed(5)
+    some = lambda words: [random.choice(words) for _ in range(random.randrange(6))]
+    for words in (["a", "b", "ab", ""], ["a", "b", "a b", None]):  # the second kind is counted pair by pair
+        rows = []
+        for i in range(60):
+            lists = [some(words) if random.random() < 0.9 else None for _ in "12"]
+            tagged = [x and [(w, random.choice(["N", "V", words[3]])) for w in x] for x in lists]
+            rows.append((i, *lists, *lists, *tagged, *tagged))
+        lists, kind = [f"{c}{s}" for c in ("token", "lemma") for s in "12"], "array<struct<word:string,tag:string>>"
+        schema = ", ".join(["time int", *[f"{c} array<string>" for c in lists], *[f"tagged_{c} {kind}" for c in lists]])
+        df = spark.createDataFrame(rows, schema)
+        monkeypatch.setattr(bags, "ROWS", 7)
+        for ignore in (True, False):
+            made = alignment.lexsyn_metrics(df, 3, ignore)
+            assert str(made._jdf.queryExecution().executedPlan()).count("ArrowEvalPython") == 1
+            found = {r["time"]: r for r in made.collect()}
+            for n in (1, 2, 3):
+                keys, tags = ([similarity.ngrams(F.transform(f"tagged_token{s}", f), n) for s in "12"] for f in (lambda x: F.concat(x["word"], F.lit("/"), x["tag"]), lambda x: x["tag"]))
+                one, two = (F.zip_with(k, t, lambda k, t: F.struct(k.alias("key"), t.alias("tags"))) for k, t in zip(keys, tags, strict=True))
+                if ignore:
+                    shared = F.array_intersect(*keys)
+                    one, two = similarity.lacking(one, shared), similarity.lacking(two, shared)
+                full = (F.size("token1") > 0) & (F.size("token2") > 0)
+                words_cosine = similarity.bag_cosine(*(similarity.ngrams(F.col(f"token{s}"), n) for s in "12"))
+                tags_cosine = similarity.bag_cosine(*(F.transform(x, lambda y: y["tags"]) for x in (one, two)))
+                for r in df.select("time", F.when(full, words_cosine).alias("w"), F.when(full, tags_cosine).alias("t")).collect():
+                    assert (r["w"], r["t"]) == (found[r["time"]][f"lexical_tok{n}_cosine"], found[r["time"]][f"pos_tok{n}_cosine"])

@@ -118,10 +118,12 @@ def rule_lemmas(tokens: Column) -> Column:
 
 
 def _tag(w: Column) -> Column:
-    out = None
+    known = None
     for tag, own in LEXICON.items():
         hit = w.isin(*own)
-        out = F.when(hit, tag) if out is None else out.when(hit, tag)
+        known = F.when(hit, tag) if known is None else known.when(hit, tag)
+    # most words are of no list, which is found at once
+    out = F.when(w.isin(*CLOSED), known)
     for end, tag in ENDINGS:
         out = out.when(w.endswith(end) & (F.length(w) > len(end) + 1), tag)
     return out.otherwise("NN")
@@ -132,10 +134,10 @@ def word_class(tag: Column) -> Column:
 
 
 def _lemma(w: Column, kind: Column) -> Column:
-    out = None
+    known = None
     for lemma, own in IRREGULAR.items():
-        out = F.when(w.isin(*own), lemma) if out is None else out.when(w.isin(*own), lemma)
-    out = out.when(w.isin(*CLOSED), w)
+        known = F.when(w.isin(*own), lemma) if known is None else known.when(w.isin(*own), lemma)
+    out = F.when(w.isin(*(x for own in IRREGULAR.values() for x in own)), known).when(w.isin(*CLOSED), w)
     for name, rules in DETACH.items():
         if not rules:
             continue

@@ -7,38 +7,17 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from turnwise.functions import bags
 from turnwise.functions import similarity as sim
 from turnwise.operators.turns import lag_pairs
 
-#: Joins word and tag of an n-gram that is compared as both.
-MARK = "/"
+#: Pairs that go to Python at once.
+BATCH = 2000
+NAMES = (("tok", "token"), ("lem", "lemma"))
 
 
-def with_grams(turns: DataFrame, max_ngram: int = 2, taggers: Sequence[str] = ("",)) -> DataFrame:
-    """n-gram arrays of each turn, made once, before turns are paired: g_tok1, g_lem1, k_tok1 (word
-    and tag of each gram) and p_tok1 (its tags), by n; taggers by prefix ("" is the base one)."""
-    if max_ngram < 1:
-        raise ValueError("max_ngram must be 1 or more")
-    # tags and word/tag keys once, then their n-grams
-    made = []
-    for short, name in (("tok", "token"), ("lem", "lemma")):
-        for prefix in taggers:
-            tagged = F.col(f"tagged_{prefix}_{name}" if prefix else f"tagged_{name}")
-            made.append(F.transform(tagged, lambda x: x["tag"]).alias(f"_t_{prefix}{short}"))
-            made.append(F.transform(tagged, lambda x: F.concat(x["word"], F.lit(MARK), x["tag"])).alias(f"_k_{prefix}{short}"))
-    out = turns.select("*", *made)
-    grams = []
-    for n in range(1, max_ngram + 1):
-        for short, name in (("tok", "token"), ("lem", "lemma")):
-            grams.append(sim.ngrams(F.col(name), n).alias(f"g_{short}{n}"))
-            for prefix in taggers:
-                pairs = F.zip_with(sim.ngrams(F.col(f"_k_{prefix}{short}"), n), sim.ngrams(F.col(f"_t_{prefix}{short}"), n), lambda k, t: F.struct(k.alias("key"), t.alias("tags")))
-                grams.append(pairs.alias(f"k_{prefix}{short}{n}"))
-    return out.select("*", *grams).drop(*[f"_{x}_{p}{s}" for x in "tk" for p in taggers for s in ("tok", "lem")])
-
-
-def gram_columns(max_ngram: int, taggers: Sequence[str]) -> list[str]:
-    return [f"{kind}{short}{n}" for n in range(1, max_ngram + 1) for short in ("tok", "lem") for kind in ("g_", *(f"k_{p}" for p in taggers))]
+def tagged_columns(taggers: Sequence[str]) -> list[str]:
+    return [f"tagged_{p}_{name}" if p else f"tagged_{name}" for _, name in NAMES for p in taggers]
 
 
 def lexsyn(turns: DataFrame, lag: int = 1, max_ngram: int = 2, ignore_duplicates: bool = True, taggers: Sequence[str] = ("",)) -> DataFrame:
@@ -49,34 +28,34 @@ def lexsyn(turns: DataFrame, lag: int = 1, max_ngram: int = 2, ignore_duplicates
     gram (word and tag) that the other side has, too, does not count for syntax; then two equal
     turns score 0.  The lexical master is null if one of its parts is; the syntactic one is the
     mean over n of 2 or more, null if there is none."""
-    prepared = with_grams(turns, max_ngram, taggers)
-    pairs = lag_pairs(prepared, ["content", "token", "lemma", *gram_columns(max_ngram, taggers)], lag)
+    pairs = lag_pairs(turns, ["content", "token", "lemma", *tagged_columns(taggers)], lag)
     return lexsyn_metrics(pairs, max_ngram, ignore_duplicates, taggers)
 
 
 def lexsyn_metrics(pairs: DataFrame, max_ngram: int = 2, ignore_duplicates: bool = True, taggers: Sequence[str] = ("",)) -> DataFrame:
-    """lexsyn()'s columns on pairs of with_grams() turns: a projection, which moves no row."""
-    grams = gram_columns(max_ngram, taggers)
-    lexical, syntactic, made, shared = [], [], {}, {}
+    """lexsyn()'s columns on pairs of turns with tokens, lemmas and tags: a projection, which moves no
+    row.  n-grams of many pairs are counted at once, in batches."""
+    if max_ngram < 1:
+        raise ValueError("max_ngram must be 1 or more")
+    pairs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH))
+    count = bags.pair_scores([name for _, name in NAMES], len(taggers), max_ngram, ignore_duplicates)
+    kind = "struct<" + ",".join(f"{k}:double" for k in bags.fields(len(NAMES), len(taggers), max_ngram)) + ">"
+    tagged = tagged_columns(taggers)
+    taken = [f"{c}{s}" for i, (_, name) in enumerate(NAMES) for c in (name, *tagged[i * len(taggers) : (i + 1) * len(taggers)]) for s in "12"]
+    lexical, syntactic, made = [], [], {}
     for n in range(1, max_ngram + 1):
-        for short, name in (("tok", "token"), ("lem", "lemma")):
-            some = (F.size(f"{name}1") > 0) & (F.size(f"{name}2") > 0) & F.col(f"{name}2").isNotNull()
+        for i, (short, _) in enumerate(NAMES):
             lexical.append(f"lexical_{short}{n}_cosine")
-            made[lexical[-1]] = F.when(some, sim.bag_cosine(F.col(f"g_{short}{n}1"), F.col(f"g_{short}{n}2")))
-            for prefix in taggers:
-                one, two = (F.col(f"k_{prefix}{short}{n}{s}") for s in "12")
+            made[lexical[-1]] = F.col(f"_scores.s{i}__{n}")
+            for t, prefix in enumerate(taggers):
                 column = f"{prefix + '_' if prefix else ''}pos_{short}{n}_cosine"
                 if n > 1:
                     syntactic.append(column)
-                if ignore_duplicates:
-                    # a column of its own, so that it is found once for a pair, not once for each gram
-                    known = f"_shared_{prefix}{short}{n}"
-                    shared[known] = F.array_intersect(F.transform(one, lambda x: x["key"]), F.transform(two, lambda x: x["key"]))
-                    one, two = sim.lacking(one, F.col(known)), sim.lacking(two, F.col(known))
-                made[column] = F.when(some, sim.bag_cosine(*(F.transform(side, lambda x: x["tags"]) for side in (one, two))))
-    pairs = pairs.withColumns(shared).withColumns(made).withColumn("lexical_master_cosine", sim.strict_mean([F.col(c) for c in lexical]))
+                made[column] = F.col(f"_scores.s{i}_{t}_{n}")
+    pairs = pairs.withColumn("_scores", F.arrow_udf(count, kind)(*taken)).withColumns(made).drop("_scores", *[f"{c}{s}" for c in tagged for s in "12"])
+    pairs = pairs.withColumn("lexical_master_cosine", sim.strict_mean([F.col(c) for c in lexical]))
     master = sim.strict_mean([F.col(c) for c in syntactic]) if syntactic else F.lit(None).cast("double")
-    return pairs.withColumn("syntactic_master_cosine", master).drop(*shared, *[f"{g}{s}" for g in grams for s in ("", "1", "2")])
+    return pairs.withColumn("syntactic_master_cosine", master)
 
 
 def tagger_of(turns: DataFrame) -> str | None:

@@ -41,8 +41,12 @@ def dealt(turns: DataFrame) -> DataFrame:
 
 def clean(turns: DataFrame, mode: str = "regex", fillers: Sequence[str] = (), min_words: int = 2) -> DataFrame:
     """Drop null contents, clean the rest, and drop turns of fewer than min_words tokens (0: none)."""
-    out = turns.where(F.col("content").isNotNull()).withColumn("content", cleaning.cleaned(F.col("content"), mode, fillers))
-    return out.where(F.size(tokens.words(F.col("content"))) >= min_words) if min_words else out
+    some, out = turns.where(F.col("content").isNotNull()), cleaning.cleaned(F.col("content"), mode, fillers)
+    if not min_words:
+        return some.withColumn("content", out)
+    # a list of one content or none, so that a text is cleaned once and not once for each use of it
+    long = F.explode(F.filter(F.array(out), lambda c: F.size(tokens.words(c)) >= min_words)).alias("content")
+    return some.select(*[long if c == "content" else c for c in some.columns])
 
 
 def merge_adjacent(turns: DataFrame) -> DataFrame:

@@ -97,8 +97,7 @@ def analyze(prepared: DataFrame, options: AnalyzeOptions | None = None, **change
         own = embeddings.with_encoding(own, o.encoder, o.cache)
         paired.append("_vector")
     if "lexsyn" in chosen:
-        own = alignment.with_grams(own, o.max_ngram, o.taggers)
-        paired += alignment.gram_columns(o.max_ngram, o.taggers)
+        paired += alignment.tagged_columns(o.taggers)
     out = turns.lag_pairs(own, paired, o.lag)
     if "lexsyn" in chosen:
         out = alignment.lexsyn_metrics(out, o.max_ngram, o.ignore_duplicates, o.taggers)
